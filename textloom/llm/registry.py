@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import lines, mixing, repeats, rules, secrets, shards, simhash
+from textloom.llm import lines, mixing, quality, repeats, rules, secrets, shards, simhash, toxicity
 from textloom.llm.common import table, utf8_size
 
 
@@ -19,10 +19,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_line_dedup": op2_line_dedup,
+        "op3_toxicity": op3_toxicity,
         "op4_simhash": op4_simhash,
+        "op6_quality": op6_quality,
         "op7_secret_scan": op7_secret_scan,
         "op8_sharding": op8_sharding,
         "op9_quality_rules": op9_quality_rules,
