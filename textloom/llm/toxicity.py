@@ -2,7 +2,7 @@
 
 A text's features are the set of its words and of their five-byte beginnings,
 hashed. Grades run from 0 (not toxic) to 3: labels only tell toxic from not,
-so toxic training texts are graded by how densely they use telling words, cut
+so toxic training texts are graded by how many telling features they have, cut
 into thirds. P(grade <= k) = sigmoid(threshold k - score): one set of weights
 for all grades, thresholds in order. The weights are fitted by proximal
 gradient steps, whose shrinkage leaves uninformative features at zero. A text's
@@ -33,6 +33,8 @@ TRAIN_ROWS = 6_000
 GRADES = 3
 #: Hashed features, and those of them that get a weight at most.
 SPACE, FEATURES = 1 << 18, 8192
+#: A feature's log-odds of toxic against not are that many standard errors above 0, and that large, at least.
+LEAST_Z, LEAST_ODDS = 3.0, 3.0
 _EDGES = b".,;:!?\"'()[]{}"
 _STEM = 5
 
@@ -52,7 +54,7 @@ def features(text: str | None) -> np.ndarray:
 class Model:
     """Weights by hashed feature and the ordered thresholds."""
 
-    def __init__(self, texts: list[np.ndarray], toxic: np.ndarray, steps: int = 300, shrink: float = 2e-4):
+    def __init__(self, texts: list[np.ndarray], toxic: np.ndarray, steps: int = 300, shrink: float = 1e-3):
         self.weights: dict[int, float] = {}
         self.thresholds = np.full(GRADES, 40.0)
         if not 0 < toxic.sum() < len(toxic):
@@ -64,17 +66,17 @@ class Model:
         k0 = np.bincount(flat[~toxic[rows]], minlength=SPACE)
         odds = np.log((k1 + 0.5) / (n1 - k1 + 0.5)) - np.log((k0 + 0.5) / (n0 - k0 + 0.5))
         error = np.sqrt(1 / (k1 + 0.5) + 1 / (n1 - k1 + 0.5) + 1 / (k0 + 0.5) + 1 / (n0 - k0 + 0.5))
-        z = np.where(k1 + k0 >= 3, np.abs(odds) / error, 0)
+        z = np.where((k1 >= 3) & (odds >= LEAST_ODDS), odds / error, 0)  # a text is toxic by what it says, not by what it leaves out
         chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-        chosen = chosen[z[chosen] > 2]
+        chosen = chosen[z[chosen] > LEAST_Z]
         place = np.full(SPACE, -1, dtype=np.int64)
         place[chosen] = np.arange(len(chosen))
         ok = place[flat] >= 0
         rows, cols = rows[ok], place[flat[ok]]
         telling = (odds[chosen] > 2) & (z[chosen] > 4)
-        density = np.bincount(rows[telling[cols]], minlength=len(texts)) / np.sqrt(np.array([len(t) for t in texts]) + 1)
-        cuts = np.quantile(density[toxic], np.arange(1, GRADES) / GRADES)
-        grade = np.where(toxic, 1 + np.searchsorted(cuts, density, side="left"), 0)
+        much = np.bincount(rows[telling[cols]], minlength=len(texts))
+        cuts = np.quantile(much[toxic], np.arange(1, GRADES) / GRADES)
+        grade = np.where(toxic, 1 + np.searchsorted(cuts, much, side="left"), 0)
         self._fit(rows, cols, len(texts), len(chosen), grade, steps, shrink, chosen)
 
     def _fit(self, rows: np.ndarray, cols: np.ndarray, n: int, d: int, grade: np.ndarray, steps: int, shrink: float, chosen: np.ndarray) -> None:
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     return Model([np.frombuffer(r[2], dtype=np.int32) for r in rows_], np.array([r[1] for r in rows_], dtype=bool))
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", cut: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", cut: float = 0.4) -> DataFrame:
     """(key, expected_severity, p_toxic, grade, toxic): grade is the likeliest one, toxic tells whether P(grade >= 1) reaches ``cut``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
