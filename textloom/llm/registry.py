@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import lines, mixing, quality, repeats, rules, secrets, shards, simhash, toxicity
+from textloom.llm import leaks, lines, mixing, quality, repeats, rules, secrets, shards, simhash, toxicity
 from textloom.llm.common import table, utf8_size
 
 
@@ -27,6 +27,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_simhash": op4_simhash,
+        "op5_decontamination": op5_decontamination,
         "op6_quality": op6_quality,
         "op7_secret_scan": op7_secret_scan,
         "op8_sharding": op8_sharding,
