@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from textloom.llm import leaks, lines, mixing, quality, repeats, rules, secrets, shards, simhash, toxicity
 from textloom.llm.common import table, utf8_size
 
@@ -68,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
