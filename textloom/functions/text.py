@@ -77,6 +77,26 @@ def expanded_indent(line: Column, tab: int = 4) -> Column:
     return F.when(line.rlike("^\\s"), step).otherwise(0)
 
 
+def odd_share_exceeds(text: Column, odd: str, start: int, least: int, most: float = 0.2) -> Column:
+    """Whether the odd characters, from position ``start`` on, are over a share of the positions read, anywhere from position ``least`` on or at the end.
+
+    The share can first pass the limit at position ``least``, at an odd
+    character, or at the end, so the walk goes from odd character to odd one.
+    """
+    n = F.length(text)
+
+    def step(s: Column, gap: Column) -> Column:
+        q = s["at"] + F.length(gap) + 1  # an odd character stands here, or the text has ended
+        at_least = (s["at"] < least) & (q > least) & (s["bad"] > most * least) & (n >= least)
+        at_odd = (q <= n) & ((q >= least) | (q == n)) & (s["bad"] + 1 > q * most)
+        at_end = (q > n) & (n < least) & (s["bad"] > n * most)
+        return F.struct(q.alias("at"), F.when(q <= n, s["bad"] + 1).otherwise(s["bad"]).alias("bad"), (s["over"] | at_least | at_odd | at_end).alias("over"))
+
+    start_at = F.struct(F.lit(start - 1).alias("at"), F.lit(0).alias("bad"), F.lit(False).alias("over"))
+    walked = F.aggregate(F.split(F.substring(text, start, 1 << 30), odd, -1), start_at, step)["over"]
+    return F.when(~text.rlike(odd), F.lit(False)).otherwise(walked)
+
+
 _MOD = 65521
 
 

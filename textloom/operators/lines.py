@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.patterns import java
-from textloom.functions.text import lines_of, occurrences, strip, without_nulls
+from textloom.functions.text import lines_of, occurrences, odd_share_exceeds, strip, without_nulls
 from textloom.plans.profile import Profile
 
 #: Bits of a line.
@@ -36,18 +36,14 @@ def pieces(files: DataFrame, p: Profile, key: str = "path", text: str = "content
 
 
 def looks_binary(line: Column) -> Column:
-    """Over a fifth of the first 80 characters, of 15 at least, aren't printable ASCII."""
-    head = F.substring(F.ltrim(line), 1, 80)
-    odd = F.length(F.regexp_replace(head, "[\\x20-\\x7e\\t\\n\\r]", ""))
-    return (F.length(head) >= 15) & (odd > F.length(head) * 0.2)
+    """Letters, digits, white space and common punctuation don't prevail in the first 80 characters."""
+    return odd_share_exceeds(F.substring(F.ltrim(line), 1, 80), r"""[^A-Za-z0-9\s~$\\/\-_<>=():*|;,"]""", 1, 15)
 
 
 def without_inlines(line: Column, p: Profile) -> Column:
-    """What stands before the first inline marker of each kind, unless the line starts with #."""
-    for m in p.inline:
-        at = F.locate(m, line)
-        line = F.when(line.startswith("#") | (at == 0), line).otherwise(F.substr(line, F.lit(1), at - 1))
-    return line
+    """What stands before the first inline marker, unless the line starts with #."""
+    rx = "(?s)(?:" + "|".join(f"\\Q{m}\\E" for m in p.inline) + ").*$"
+    return F.when(line.startswith("#"), line).otherwise(F.regexp_replace(line, rx, "")) if p.inline else line
 
 
 def stripped(line: Column, p: Profile) -> Column:
