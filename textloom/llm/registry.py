@@ -73,5 +73,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
+
+_OP2 = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
+    list_filter(list_transform(string_split(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+  FROM pages),
+l AS (SELECT r, host, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM p),
+n AS (SELECT host, line, count(DISTINCT r) AS n FROM l GROUP BY host, line),
+t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+b AS (SELECT n.host, n.line FROM n JOIN t USING (host) WHERE n.n >= 5 AND n.n > 0.1::DOUBLE * t.pages),
+k AS (SELECT l.r, string_agg(l.line, chr(10) ORDER BY l.i) AS kept_text, count(*) AS kept FROM l LEFT JOIN b ON b.host = l.host AND b.line = l.line WHERE b.line IS NULL GROUP BY l.r)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(kept, 0))::BIGINT AS n_dropped, coalesce(kept_text, '') AS kept_text FROM p LEFT JOIN k USING (r)
+"""
+
+_OP9 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+wl AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+g AS (SELECT r, i, x AS a, lead(x, 1) OVER v AS b, lead(x, 2) OVER v AS e FROM wl WINDOW v AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, e) AS k FROM g WHERE e IS NOT NULL),
+u AS (SELECT DISTINCT r, i + o AS i FROM c, (VALUES (0), (1), (2)) v(o) WHERE k > 1),
+rw AS (SELECT r, count(*) AS n FROM u GROUP BY r),
+l AS (SELECT r, unnest(range(len(string_split(t, chr(10))))) AS i, unnest(string_split(t, chr(10))) AS line FROM d),
+lw AS (SELECT r, i, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k FROM l WHERE regexp_matches(line, '[^ \t-\r]')),
+ln AS (SELECT r, count(*) AS n, count(*) FILTER (k > 1) AS dup FROM lw GROUP BY r),
+s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ \t-\r]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(ln.dup, 0)::BIGINT AS n_dup_lines, coalesce(rw.n, 0)::BIGINT AS n_repeat_words, coalesce(ln.n, 0) AS n_lines FROM d LEFT JOIN ln USING (r) LEFT JOIN rw USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > 5 * word_chars OR 100 * n_dup_lines > 50 * n_lines OR word_chars > 15 * n_words) AS kept FROM f
+"""
+
+_OP10 = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+a AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM a),
+l AS (SELECT *, source_size * 3 AS cap, source_size * 3 / w AS lim FROM w),
+p AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::BIGINT / (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::BIGINT AS level FROM l WINDOW b AS (ORDER BY lim, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT *, min(CASE WHEN level <= lim THEN lim END) OVER () AS found FROM p),
+z AS (SELECT *, max(CASE WHEN lim = found AND level <= lim THEN level END) OVER () AS lvl FROM q),
+t AS (SELECT source, source_size, least(CASE WHEN lim >= found THEN lvl * w ELSE cap END::DOUBLE, cap::DOUBLE) AS target FROM z),
+m AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(3.0::DOUBLE, t.target / t.source_size) ELSE 0 END AS rate,
+  ('0x' || substring(md5('10:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size)::BIGINT AS taken FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express over whole tables."""
+    return {"op2_line_dedup": _OP2, "op9_quality_rules": _OP9, "op10_mixing": _OP10}
