@@ -47,6 +47,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole(df: DataFrame) -> Column:
+    """The row as one column, so that an operator's own columns can't clash with it."""
+    return F.struct(*(F.col(_quoted(c)).alias(c) for c in df.columns))
+
+
+def columns_of(df: DataFrame, packed: str = "_in", but: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``df`` out of whole(), but for those that the operator adds itself."""
+    return [F.col(packed).getField(c).alias(c) for c in df.columns if c not in but]
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import stored
+from textloom.llm.common import columns_of, stored, whole
 
 BLOCK = 1024
 RANK, OVERSAMPLE, POWERS = 128, 16, 2
@@ -265,9 +265,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     Rows are told apart by position, so ``docs`` is to be a stored table.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    held = stored(find(rows.select("_row", F.col(text).alias("text")), benchmark, key="_row").select("_row").distinct())
-    return rows.join(held, "_row", "left_anti").select(*docs.columns)
+    rows = docs.select(whole(docs).alias("_in"), F.monotonically_increasing_id().alias("_row"))
+    held = stored(find(rows.select("_row", F.col("_in").getField(text).alias("text")), benchmark, key="_row").select("_row").distinct())
+    return rows.join(held, "_row", "left_anti").select(*columns_of(docs))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

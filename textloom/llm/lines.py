@@ -11,7 +11,8 @@ short list a site, whatever the site's size, and no line is joined.
 Null addresses and those without a host share the site ''. A null text has no
 line. Lines are compared and kept trimmed; blank ones vanish. Repeated rows
 are pages of their own, an empty table gives an empty result, extra columns
-pass through; names that begin with an underscore are the operator's own.
+pass through, whatever their names, but for those in ``into``, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import checkpoint
+from textloom.llm.common import checkpoint, columns_of, whole
 
 #: Rows of the per-site table up to which it is broadcast.
 BROADCAST_SITES = 20_000
@@ -55,16 +56,16 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
 
 def dedup(pages: DataFrame, lines: Column | None = None, site: Column | None = None, ratio: float = 0.1, min_pages: int = 5, into: tuple[str, str, str] = ("site", "lines", "kept")) -> DataFrame:
     """Add the site, the array of all lines and the array of those kept."""
-    df = pages.withColumns({"_site": host(F.col("url")) if site is None else site, "_lines": html_lines(F.col("html")) if lines is None else lines})
+    df = pages.select(whole(pages).alias("_in"), (host(F.col("url")) if site is None else site).alias("_site"), (html_lines(F.col("html")) if lines is None else lines).alias("_lines"))
     drop = checkpoint(boilerplate(df.select("_site", "_lines"), ratio, min_pages))
     if drop.count() <= BROADCAST_SITES:
         df = df.join(F.broadcast(drop), "_site", "left")
     else:
         salted = drop.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(*pages.columns), F.lit(SALTS)).cast("int")).join(salted, ["_site", "_salt"], "left")
+        df = df.withColumn("_salt", F.pmod(F.xxhash64("_in"), F.lit(SALTS)).cast("int")).join(salted, ["_site", "_salt"], "left")
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains(F.col("_drop"), _mark(x))))
     site_, all_, kept_ = into
-    return df.select(*pages.columns, F.col("_site").alias(site_), F.col("_lines").alias(all_), kept.alias(kept_))
+    return df.select(*columns_of(pages, but=into), F.col("_site").alias(site_), F.col("_lines").alias(all_), kept.alias(kept_))
 
 
 def digest(pages: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ more if a hash of seed and key falls below the fraction.
 
 Null texts have no tokens, null sources are a source of their own, last in
 order. A source without tokens has rate 0. Rows with one key share the coin.
-An empty table gives an empty result. Extra columns pass through; names that
-begin with an underscore are the operator's own.
+An empty table gives an empty result. Extra columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import checkpoint, word_count
+from textloom.llm.common import checkpoint, columns_of, whole, word_count
 
 #: Rows of the per-source table (under 100 bytes each) up to which it is broadcast.
 BROADCAST_SOURCES = 50_000
@@ -61,20 +61,20 @@ def coin(key: Column, seed: int) -> Column:
 
 
 def rates(docs: DataFrame, cap: int = 3, seed: int = 10, key: str = "doc_id", source: str = "source", size: Column | None = None, weight=rank_weight) -> DataFrame:
-    """Add _size, _source_size, _target and _copies to every row."""
+    """(_in, _key, _size, _source_size, _target, _copies) of every row; _in is the row itself."""
     size = word_count(F.col("text")) if size is None else size
-    df = docs.withColumn("_size", size)
-    per = checkpoint(targets(df.select(F.col(source).alias("source"), F.col("_size").alias("size")), cap, weight))
+    df = docs.select(whole(docs).alias("_in"), F.col(key).alias("_key"), F.col(source).alias("_src"), size.alias("_size"))
+    per = checkpoint(targets(df.select(F.col("_src").alias("source"), F.col("_size").alias("size")), cap, weight))
     per = per.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     if per.count() <= BROADCAST_SOURCES:  # beyond it a shuffled join, whose hot sources AQE splits
         per = F.broadcast(per)
-    df = df.join(per, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+    df = df.join(per, F.col("_src").eqNullSafe(F.col("_source"))).drop("_source", "_src")
     rate = F.when(F.col("_source_size") > 0, F.least(F.lit(float(cap)), F.col("_target") / F.col("_source_size"))).otherwise(0.0)
     whole = F.floor(rate)
-    return df.withColumn("_copies", (whole + F.when(coin(F.col(key), seed) < rate - whole, 1).otherwise(0)).cast("int"))
+    return df.withColumn("_copies", (whole + F.when(coin(F.col("_key"), seed) < rate - whole, 1).otherwise(0)).cast("int"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, repeated as often as it takes them, with the columns of the input."""
     df = rates(docs, **options).filter("_copies > 0")
-    return df.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return df.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns_of(docs))

@@ -11,7 +11,8 @@ are searched in both, so no match is lost.
 Matches are leftmost and non-overlapping per rule, those whose length group is
 too short are dropped, and offsets count code points. A null text has no
 match. Rows pass through one by one: repeated rows and keys are kept, extra
-columns as well; names that begin with an underscore are the operator's own.
+columns as well, whatever their names, but for those named like a kind, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import columns_of, whole
 from textloom.llm.trigrams import grams, query_of
 
 
@@ -103,14 +105,15 @@ def _spans(text: Column, rule: Secret) -> Column:
 def scan(docs: DataFrame, rules: tuple[Secret, ...] = BASE, text: str = "text") -> DataFrame:
     """Add an array of (start, end) for each rule, in a column named by its kind."""
     found = candidates(build_index(docs, rules, text), rules)
-    df = docs.withColumn("_key", text_key(F.col(text))).join(found.withColumnRenamed("key", "_key"), "_key", "left")
+    df = docs.select(whole(docs).alias("_in"), text_key(F.col(text)).alias("_key")).join(found.withColumnRenamed("key", "_key"), "_key", "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col("_in").getField(text), F.lit(""))
+    spans = {}
     for r in rules:
         due = F.coalesce(F.col(f"_{r.kind}"), F.lit(False)) if query_of(r.regex) is not True else F.lit(True)
         due &= body.rlike(r.regex)
-        df = df.withColumn(r.kind, F.when(due, _spans(body, r)).otherwise(none))
-    return df.select(*docs.columns, *(r.kind for r in rules))
+        spans[r.kind] = F.when(due, _spans(body, r)).otherwise(none)
+    return df.select(*columns_of(docs, but=tuple(spans)), *(c.alias(k) for k, c in spans.items()))
 
 
 def listed(rules: tuple[Secret, ...] = BASE) -> Column:

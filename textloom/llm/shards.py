@@ -12,7 +12,8 @@ partitions. A source of any size is spread over as many ranges as it fills.
 
 Null texts have size 0, null sources form a source of their own. Rows with
 equal keys are interchangeable; an empty table gives an empty result. Input
-columns pass through; the names in ``into`` must not clash with them.
+columns pass through, whatever their names; those named in ``into`` are
+replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import checkpoint
+from textloom.llm.common import checkpoint, columns_of, whole
 
 #: monotonically_increasing_id() has the partition above these bits and the position in it below.
 _ROW_BITS = 33
@@ -56,15 +57,14 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 8, key: str = "doc
     Shards differ by one row at most. Repeated keys are separate rows, ordered
     by the other columns.
     """
-    rest = [c for c in docs.columns if c not in (key, source)]
-    tie = F.xxhash64(*(F.col(c) for c in (key, *rest)))
-    df = docs.withColumns({"_h": shuffle_key(F.col(key), seed), "_tie": tie})
-    df = _ranked(df, [source], ["_h", "_tie"], "_rank")
+    df = docs.select(whole(docs).alias("_in"), F.col(source).alias("_src"), shuffle_key(F.col(key), seed).alias("_h"))
+    df = df.withColumn("_tie", F.xxhash64("_in"))
+    df = _ranked(df, ["_src"], ["_h", "_tie"], "_rank")
     df = df.withColumn("_share", (2 * F.col("_rank") + 1) / (2 * F.col("_rank_of"))).drop("_rank", "_rank_of")
-    df = _ranked(df, [], ["_share", source, "_h", "_tie"], "_pos")
+    df = _ranked(df, [], ["_share", "_src", "_h", "_tie"], "_pos")
     shard = F.expr(f"cast(((_pos + 1) * {shards} - 1) div _pos_of as int)")
-    start = F.expr(f"({into[0]} * _pos_of) div {shards}")
-    return df.withColumn(into[0], shard).withColumn(into[1], F.col("_pos") - start).drop("_h", "_tie", "_share", "_pos", "_pos_of")
+    start = F.expr(f"(_shard * _pos_of) div {shards}")
+    return df.withColumn("_shard", shard).select(*columns_of(docs, but=into), F.col("_shard").alias(into[0]), (F.col("_pos") - start).alias(into[1]))
 
 
 def write(docs: DataFrame, path: str, **options) -> None:

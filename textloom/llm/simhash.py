@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import golay
-from textloom.llm.common import checkpoint, stored
+from textloom.llm.common import checkpoint, columns_of, stored, whole
 from textloom.llm.components import components
 
 #: Nearest nodes and reached nodes of an anchor that one task compares.
@@ -187,14 +187,15 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
     """(key, f.., component): the smallest key of all rows that links reach, itself included; one row a row of ``docs``."""
     names = [f"f{i}" for i in range(words)]
     node = F.col("f0") if words == 1 else F.xxhash64(*names)
-    rows = stored(fingerprints(docs, key, text, shingle, words).withColumn("node", node))
+    docs = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    rows = stored(fingerprints(docs, "_k", "_t", shingle, words).withColumn("node", node))
     # Equal fingerprints meet before anything else, so copies of a text are one node.
-    nodes = stored(rows.groupBy("node", *names).agg(F.min(key).alias("least")))
+    nodes = stored(rows.groupBy("node", *names).agg(F.min("_k").alias("least")))
     found = stored(components(links(nodes, words, most, slack)))
     least = nodes.join(found, "node").groupBy("label").agg(F.min("least").alias("component"))
     of = found.join(least, "label").select("node", "component")
     of = nodes.join(of, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    return rows.join(of, "node").select(key, *names, "component")
+    return rows.join(of, "node").select(F.col("_k").alias(key), *names, "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, words: int = 4, most: int = 38, slack: int = 1) -> DataFrame:
@@ -206,10 +207,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     vectors' cosine is 2J / (1 + J), and each bit differs with probability
     arccos(cosine) / pi, 0.151 at 0.8.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = grouped(rows.select(F.struct(F.col(key), F.col("_row")).alias("_key"), F.col(text)), "_key", text, shingle, words, most, slack)
-    kept = found.filter(F.col("_key") == F.col("component")).select(F.col("_key._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows = docs.select(whole(docs).alias("_in"), F.monotonically_increasing_id().alias("_row"))
+    id_ = F.struct(F.col("_in").getField(key).alias("id"), F.col("_row"))
+    found = grouped(rows.select(id_.alias("_key"), F.col("_in").getField(text).alias("_text")), "_key", "_text", shingle, words, most, slack)
+    kept = found.filter(F.col("_key").eqNullSafe(F.col("component"))).select(F.col("_key._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*columns_of(docs))
 
 
 def digest(docs: DataFrame) -> DataFrame:
