@@ -70,8 +70,8 @@ def rates(docs: DataFrame, cap: int = 3, seed: int = 10, key: str = "doc_id", so
         per = F.broadcast(per)
     df = df.join(per, F.col("_src").eqNullSafe(F.col("_source"))).drop("_source", "_src")
     rate = F.when(F.col("_source_size") > 0, F.least(F.lit(float(cap)), F.col("_target") / F.col("_source_size"))).otherwise(0.0)
-    whole = F.floor(rate)
-    return df.withColumn("_copies", (whole + F.when(coin(F.col("_key"), seed) < rate - whole, 1).otherwise(0)).cast("int"))
+    times = F.floor(rate)
+    return df.withColumn("_copies", (times + F.when(coin(F.col("_key"), seed) < rate - times, 1).otherwise(0)).cast("int"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
