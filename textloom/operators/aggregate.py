@@ -37,10 +37,11 @@ def by_key(items: DataFrame, key: str, names: list[str] | str = "all", order: st
             aggs.append(F.max_by(F.col(n).cast("string"), F.col(order)).alias(n))
     out = df.groupBy(key).agg(*aggs)
     for n in maps:
-        flat = df.select(key, order, F.explode(n).alias("k", "v"))
+        flat = df.select(key, F.col(order).alias("_o"), F.explode(n).alias("_mk", "_mv"))
         value = items.schema[n].dataType.valueType
-        merged = F.sum("v") if isinstance(value, NUMBERS) else F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("v")))), lambda x: x["v"])) if isinstance(value, T.ArrayType) else F.max_by("v", F.col(order))
-        per = flat.groupBy(key, "k").agg(merged.alias("v")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(n))
+        joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_mv"))), lambda x: x["_mv"]))
+        merged = F.sum("_mv") if isinstance(value, NUMBERS) else joined if isinstance(value, T.ArrayType) else F.max_by("_mv", "_o")
+        per = flat.groupBy(key, "_mk").agg(merged.alias("_mv")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_mk", "_mv")))).alias(n))
         out = out.join(per, key, "left")
     if threshold:
         if threshold[0] not in out.columns:

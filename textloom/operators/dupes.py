@@ -62,10 +62,10 @@ def _marked(files: DataFrame, found: DataFrame, group: list[str], bucket: str, k
     return df.withColumn("dupe_firstPath", F.when(F.col(bucket) != F.col(key), F.col(bucket))).drop(bucket)
 
 
-def suppressed(files: DataFrame, keep: tuple[str, ...] = ("path", "name", "ext", "dir", "length", "nbnc_crc")) -> DataFrame:
-    """Duplicates lose their measures but for ``keep`` and get dupe_nbnc instead."""
+def suppressed(files: DataFrame, keep: tuple[str, ...] = ("path", "name", "ext", "dir", "nbnc_crc", "out_file")) -> DataFrame:
+    """Duplicates lose all but ``keep``, tags and folder levels, and get dupe_nbnc instead."""
     df = files.withColumn("dupe_nbnc", F.when(F.col("dupe_firstPath").isNotNull(), F.col("file_nbnc"))) if "file_nbnc" in files.columns else files
-    stay = {*keep, "dupe_firstPath", "dupe_nbnc"}
+    stay = {*keep, "dupe_firstPath", "dupe_nbnc", *(c for c in df.columns if c.rstrip("0123456789") in ("tag", "dir"))}
     return df.select(*(F.col(c) if c in stay else F.when(F.col("dupe_firstPath").isNull(), F.col(c)).alias(c) for c in df.columns))
 
 

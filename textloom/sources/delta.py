@@ -23,8 +23,8 @@ def delta(new: DataFrame, old: DataFrame, include_deleted: bool = False, key: st
     o = old.select(F.col(key).alias("_key"), F.col("path").alias("_old_path"), F.col("content").alias("_old"))
     df = new.join(o, new[key] == F.col("_key"), "left").drop("_key")
     same = F.col("content").eqNullSafe(F.col("_old")) & F.col("_old_path").isNotNull()
-    df = df.withColumn("dupe_firstPath", F.when(same, F.col("_old_path")))
-    df = df.withColumn("_old", F.when(~same, F.col("_old"))).withColumn("content", F.when(same, F.lit("")).otherwise(F.col("content"))).drop("_old_path")
+    changes = {"dupe_firstPath": F.when(same, F.col("_old_path")), "_old": F.when(~same, F.col("_old")), "content": F.when(same, F.lit("")).otherwise(F.col("content"))}
+    df = df.withColumns(changes).drop("_old_path")
     schema = T.StructType([f for f in df.schema.fields if f.name != "_old"])
     at, was = df.columns.index("content"), df.columns.index("_old")
 
