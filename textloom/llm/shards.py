@@ -10,7 +10,8 @@ rows are dealt out by ranges of the sort key, each partition counts its rows,
 and the running totals of those few counts shift the positions inside the
 partitions. A source of any size is spread over as many ranges as it fills.
 
-Null texts have size 0, null sources form a source of their own. Rows with
+Rows are told apart by their position, so the input is to be a stored table or
+a projection of one. Null sources form a source of their own. Rows with
 equal keys are interchangeable; an empty table gives an empty result. Input
 columns pass through, whatever their names; those named in ``into`` are
 replaced.
@@ -57,14 +58,16 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 8, key: str = "doc
     Shards differ by one row at most. Repeated keys are separate rows, ordered
     by the other columns.
     """
-    df = docs.select(whole(docs).alias("_in"), F.col(source).alias("_src"), shuffle_key(F.col(key), seed).alias("_h"))
-    df = df.withColumn("_tie", F.xxhash64("_in"))
+    rows = docs.select(whole(docs).alias("_in"), F.monotonically_increasing_id().alias("_row"))
+    # The rankings move a few numbers a row; the rows themselves are moved once, to meet their places.
+    df = rows.select("_row", F.col("_in").getField(source).alias("_src"), shuffle_key(F.col("_in").getField(key), seed).alias("_h"), F.xxhash64("_in").alias("_tie"))
     df = _ranked(df, ["_src"], ["_h", "_tie"], "_rank")
     df = df.withColumn("_share", (2 * F.col("_rank") + 1) / (2 * F.col("_rank_of"))).drop("_rank", "_rank_of")
     df = _ranked(df, [], ["_share", "_src", "_h", "_tie"], "_pos")
     shard = F.expr(f"cast(((_pos + 1) * {shards} - 1) div _pos_of as int)")
     start = F.expr(f"(_shard * _pos_of) div {shards}")
-    return df.withColumn("_shard", shard).select(*columns_of(docs, but=into), F.col("_shard").alias(into[0]), (F.col("_pos") - start).alias(into[1]))
+    places = df.withColumn("_shard", shard).select("_row", F.col("_shard").alias("_s"), (F.col("_pos") - start).alias("_p"))
+    return rows.join(places, "_row").select(*columns_of(docs, but=into), F.col("_s").alias(into[0]), F.col("_p").alias(into[1]))
 
 
 def write(docs: DataFrame, path: str, **options) -> None:
