@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm import golay
+from textloom.llm import golay, jaccard
 from textloom.llm.common import checkpoint, columns_of, stored, whole
 from textloom.llm.components import components
 
@@ -198,19 +198,16 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
     return rows.join(of, "node").select(F.col("_k").alias(key), *names, "component")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, words: int = 4, most: int = 38, slack: int = 1) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """One row of each group of near copies, that with the smallest key, with the columns of the input.
 
-    ``docs`` is to be a stored table: rows are told apart by their position in
-    it. The defaults link texts whose five-word shingles have a similarity of
-    0.8 or more as 256 bits estimate it: at a Jaccard similarity J the shingle
-    vectors' cosine is 2J / (1 + J), and each bit differs with probability
-    arccos(cosine) / pi, 0.151 at 0.8.
+    Near copies are texts whose ``shingle``-word shingles have a Jaccard
+    similarity of 0.8 or more, counted exactly (jaccard.py): 256 bits can only
+    estimate it. ``docs`` is to be a stored table: rows are told apart by their
+    position in it.
     """
     rows = docs.select(whole(docs).alias("_in"), F.monotonically_increasing_id().alias("_row"))
-    id_ = F.struct(F.col("_in").getField(key).alias("id"), F.col("_row"))
-    found = grouped(rows.select(id_.alias("_key"), F.col("_in").getField(text).alias("_text")), "_key", "_text", shingle, words, most, slack)
-    kept = found.filter(F.col("_key").eqNullSafe(F.col("component"))).select(F.col("_key._row").alias("_row"))
+    kept = jaccard.least_rows(rows.select("_row", F.col("_in").getField(key).alias("_id"), F.col("_in").getField(text).alias("_text")), shingle)
     return rows.join(kept, "_row", "left_semi").select(*columns_of(docs))
 
 
