@@ -5,9 +5,10 @@ frequencies counted over the whole corpus. A randomised SVD, whose products
 with the passage matrix are summed over the rows' partitions, gives a latent
 space. Every text is swept by windows of several lengths, half again as long
 each, in steps of a quarter window; a window's latent vector is a difference
-of running sums. A window is a candidate for a passage if their cosine, the
-window's own norm taken in full, reaches ``LEAST_COSINE`` of the passage's
-cosine with itself. Candidates are checked word by word: the longest common
+of running sums. A window is a candidate for a passage if their cosine reaches
+``LEAST_COSINE`` of the passage's cosine with itself. The window's norm is that
+of its words that some passage of the block holds: words foreign to all of
+them, whose weight would grow with the corpus, don't count. Candidates are checked word by word: the longest common
 subsequence with the passage has to cover ``LEAST_LCS`` of it, and its answer,
 the words after the passage's last sentence end but one, ``LEAST_ANSWER``.
 
@@ -78,7 +79,7 @@ class Block:
         self.answers = [answer_of(t) for _, t in items]
         self.vocabulary = {w: k for k, w in enumerate(sorted(set().union(*map(set, self.words))))}
         idf = np.log((n_docs + 1) / (np.array([df.get(w, 0) for w in self.vocabulary]) + 1)) + 0.05
-        self.idf = np.append(idf, np.log(n_docs + 1) + 0.05).astype(np.float32)  # the last: any other word
+        self.idf = np.append(idf, 0).astype(np.float32)  # the last: any other word, which no passage holds
         self.scales: list[tuple[int, np.ndarray]] = []
 
     def row(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,22 +165,26 @@ def _candidates(block: Block, ids: np.ndarray, bounds: np.ndarray) -> Iterator[t
     sums = np.zeros((len(ids) + 1, block.basis.shape[1]), dtype=np.float32)
     np.cumsum(block.basis[ids], axis=0, out=sums[1:])
     norms = np.concatenate(([0], np.cumsum(block.idf[ids].astype(np.float64) ** 2)))
+    known = np.concatenate(([0], np.cumsum(ids < len(block.vocabulary))))
     for window, fit in block.scales:
         step = window // 4
         starts = np.arange(0, max(1, len(ids) - window + step), step)
         ends = np.minimum(starts + window, len(ids))
+        text = np.searchsorted(bounds, (starts + ends) // 2, side="right") - 1
+        first, last = np.maximum(starts - step, bounds[text]), np.minimum(ends + step, bounds[text + 1])
+        words = known[last] - known[first]  # the common subsequence has no more
         vectors = sums[ends] - sums[starts]
         norm = np.sqrt(norms[ends] - norms[starts]).astype(np.float32) + 1e-6
         # cosine = <window, passage> / (|window| |latent passage|), to be a share of |latent passage|
         need = LEAST_COSINE * block.own[fit].min()
-        alive = np.flatnonzero(np.sqrt((vectors**2).sum(axis=1)) * np.sqrt(block.own[fit].max()) >= need * norm)
+        sizes = LEAST_LCS * np.array([len(block.words[p]) for p in fit]) - 1e-9
+        alive = np.flatnonzero((words >= sizes.min()) & (np.sqrt((vectors**2).sum(axis=1)) * np.sqrt(block.own[fit].max()) >= need * norm))
         cosine = vectors[alive] @ block.latent[fit].T / norm[alive, None]
-        hit = cosine >= LEAST_COSINE * block.own[fit][None, :]
+        hit = (cosine >= LEAST_COSINE * block.own[fit][None, :]) & (words[alive, None] >= sizes[None, :])
         for j in np.flatnonzero(hit.any(axis=1)):
             i = alive[j]
-            text = int(np.searchsorted(bounds, (starts[i] + ends[i]) // 2, side="right")) - 1
             which = np.flatnonzero(hit[j])
-            yield text, max(int(starts[i]) - step, int(bounds[text])), min(int(ends[i]) + step, int(bounds[text + 1])), fit[which], cosine[j, which] / np.sqrt(block.own[fit[which]])
+            yield int(text[i]), int(first[i]), int(last[i]), fit[which], cosine[j, which] / np.sqrt(block.own[fit[which]])
 
 
 def _matches(block: Block, texts: list[list[bytes]]) -> Iterator[tuple[int, int, float, float, float]]:
