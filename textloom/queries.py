@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import adler32, lines_of, rank
+from textloom.functions.text import lines_of, rank
 from textloom.operators import aggregate, analyze, dupes, measure, routines, search
 from textloom.operators.routing import folder_counts, nearest, routed
 from textloom.plans.config import entry, matches_measure, param
@@ -175,9 +175,23 @@ def full_code_src(spark, sf):
     return measure.full(_src(spark, sf), "Code", size="length")
 
 
-@_query(f"WITH {SRC_FILES}, hexed AS (SELECT path, hex(encode(substring(content, 1, 400))) AS h FROM files), b AS (SELECT path, length(h) // 2 AS n, unnest(range(0, length(h) // 2)) AS i, h FROM hexed), v AS (SELECT path, n, i, ('0x' || substring(h, 2 * i + 1, 2))::BIGINT AS x FROM b) SELECT path, (sum((n - i) * x) % 65521)::BIGINT * 65536 + (sum(x) % 65521)::BIGINT AS crc FROM v GROUP BY path")
-def head_crc_src(spark, sf):
-    return _src(spark, sf).select("path", adler32(F.substring("content", 1, 400).cast("binary")).alias("crc"))
+def _crc_sql(start: str, column: str, lines: str) -> str:
+    """Adler-32 with seed 0 of all bytes of a file's texts, line after line; ``lines`` selects path, line_no and t."""
+    return f"""{start}, hexed AS (SELECT path, line_no, hex(encode(t)) AS h FROM ({lines})),
+placed AS (SELECT path, h, sum(length(h) // 2) OVER (PARTITION BY path ORDER BY line_no DESC) AS rest FROM hexed),
+bytes AS (SELECT path, rest, unnest(range(0, length(h) // 2)) AS i, h FROM placed),
+sums AS (SELECT path, sum(('0x' || substring(h, 2 * i + 1, 2))::BIGINT) % 65521 AS a, sum((rest - i) * ('0x' || substring(h, 2 * i + 1, 2))::BIGINT) % 65521 AS b FROM bytes GROUP BY path)
+SELECT f.path, nullif((b * 65536 + a)::BIGINT, 0) AS {column} FROM files f LEFT JOIN sums USING (path)"""
+
+
+@_query(_crc_sql(f"WITH {SRC_FILES}, {LINES}", "file_crc", "SELECT path, line_no, raw || chr(10) AS t FROM raws"))
+def file_crc_src(spark, sf):
+    return measure.full(_src(spark, sf), "Code").select("path", "file_crc")
+
+
+@_query(_crc_sql(CODE_SRC, "nbnc_crc", "SELECT path, line_no, ' ' || regexp_replace(line, '(.)', '\\1 ', 'gs') AS t FROM c2 WHERE is_code"))
+def nbnc_crc_src(spark, sf):
+    return measure.full(_src(spark, sf), "Code").select("path", "nbnc_crc")
 
 
 # Search and analysis -----------------------------------------------------------------------------
