@@ -81,6 +81,41 @@ def test_repeats(docs, hot, monkeypatch):
     assert held(repeats.digest(docs)) == want
 
 
+@pytest.mark.parametrize("hot", [2000, 100])
+def test_repeats_common_passage(spark, hot, monkeypatch, tmp_path):
+    """A passage in every text, and near copies: contexts with very many different parts."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = np.random.default_rng(15)
+    passage = " ".join(f"common{x}" for x in range(30))
+    base = [f"near{x}" for x in range(80)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        w[int(rng.integers(0, 80))] = f"own{i}"
+        own = [f"{x:x}" for x in rng.integers(0, 1 << 40, 20)]
+        rows.append((i, f"{' '.join(own[:10])} {passage} {' '.join(own[10:])} {' '.join(w)}"))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    want = Counter((i, *x) for (i, _), x in zip(rows, brute_repeats([t.encode() for _, t in rows]), strict=True))
+    assert held(repeats.digest(spark.read.parquet(str(tmp_path / "d")))) == want
+
+
+def test_parts_hold_all_windows():
+    """Each window of a segment lies in a part, and in a half of every part that holds it; equal windows keep equal contexts."""
+    rng = np.random.default_rng(16)
+    for _ in range(50):
+        place, n = int(rng.integers(0, 169)), 1
+        n = int(rng.integers(1, place + 2))
+        text = rng.integers(97, 123, 700).astype(np.uint8).tobytes()
+        parts, width = list(repeats.parts_of(text, 100, n, place)), repeats.WIDTH
+        while True:
+            assert {k for _, f, m, _, _ in parts for k in range(f, f + m)} == set(range(n))
+            assert all(len(x) < width and len(y) < width for _, _, _, x, y in parts)
+            if width == 1:
+                break
+            parts, width = [y for x in parts for y in repeats.halves(width, *x)], (width + 1) // 2
+        assert len({(k, f) for k, f, _, _, _ in parts}) == len({k for k, *_ in parts}) or n > 1
+
+
 def test_repeats_odd(spark, odd):
     small = odd.withColumn("text", F.substring("text", 1, 3000)).repartition(2)
     small = spark.createDataFrame(small.collect(), small.schema)
