@@ -240,10 +240,9 @@ def test_simhash(docs):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.digest(docs).collect()} == want
 
 
-@pytest.mark.parametrize("chunks", [(4096, 16384), (3, 5)])
-def test_links_lose_nothing(spark, chunks, monkeypatch):
-    monkeypatch.setattr(simhash, "HOME_CHUNK", chunks[0])
-    monkeypatch.setattr(simhash, "REACH_CHUNK", chunks[1])
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_links_lose_nothing(spark, chunk, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 1 << 63, 12).tolist()
     fps = list({c ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 5), replace=False)) for c in centres for _ in range(12)})
@@ -258,6 +257,35 @@ def test_links_lose_nothing(spark, chunks, monkeypatch):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_pairs_of_anchors_meet():
+    """Whatever 4 bits differ, two fingerprints share a pair of anchors; and a link is a close pair."""
+    rng = np.random.default_rng(19)
+    cut = golay.blocks(64)
+    for _ in range(200):
+        a = int(rng.integers(0, 1 << 63))
+        b = a ^ sum(1 << int(x) for x in rng.choice(64, 4, replace=False))
+        x = [np.array([a, b], dtype=np.uint64)]
+        places = []
+        for row in (0, 1):
+            by = [[(int(k), int(e)) for r, k, e in zip(*golay.reached(golay.block_of(x, *c), 1), strict=True) if r == row] for c in cut]
+            places.append({(i, j, p, q) for i in range(3) for j in range(i) for p, e in by[i] for q, d in by[j] if e + d <= 1})
+        assert places[0] & places[1]
+
+
+def test_hot_keys(spark, monkeypatch):
+    """A star whose centre has most edges, and texts of one fingerprint, dealt with apart."""
+    from textloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "SHARES", 1000)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(10)], "a long, b long")
+    got = {r.node: r.label for r in components.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(300)}, **{1000 + i: 1000 for i in range(11)}}
+    df = spark.createDataFrame([(i, "one text of many words that stand here" if i % 3 else f"other {i} words") for i in range(60)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.digest(df).collect()}
+    assert len(got) == 60 and all(got[i] == 1 for i in range(60) if i % 3)
+
+
 def test_covering_code():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 23, 500).astype(np.int32)

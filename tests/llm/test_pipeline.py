@@ -3,7 +3,8 @@
 from collections import Counter
 
 import corpus_pipeline
-from textloom.llm import leaks, mixing, rules, simhash
+from tests.llm.test_jaccard import brute_kept
+from textloom.llm import leaks, mixing, rules
 
 
 def test_stages(spark, sf, tmp_path):
@@ -20,8 +21,8 @@ def test_stages(spark, sf, tmp_path):
     good = {r.doc_id for r in rules.cascade(before).filter("rejected_by is null").collect()}
     assert {r.doc_id for r in after.collect()} == good and after.columns == columns
     before, after = seen["near_dedup"]
-    groups = simhash.grouped(before, shingle=5, words=4, most=38, slack=1).collect()
-    assert Counter(r.doc_id for r in after.collect()) == Counter(set(r.component for r in groups))
+    want, _ = brute_kept([(r.doc_id, r.text) for r in before.collect()])
+    assert Counter(r.doc_id for r in after.collect()) == Counter(want)
     before, after = seen["decontamination"]
     held = {r.doc_id for r in leaks.find(before, benchmark).collect()}
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()} - held and after.columns == columns

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,41 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole runs of equal first columns, from batches sorted by them."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        c = [b.column(n).to_numpy() for n in names]
+        last = int(np.searchsorted(c[0], c[0][-1]))
+        if last or (held and held[-1][0][-1] != c[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [y[:last] for y in c], strict=True)]
+            held = []
+        held.append([y[last:] for y in c])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+#: A key with more rows than this, and than that share of all rows, is hot: under SHARES keys are.
+HOT_ROWS, SHARES = 1000, 100_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, one row a key, whose column ``n`` has the key's rows in ``left``, ``total`` in all.
+
+    Keys with very many rows stay where they are: they are few by their
+    definition, so their rows of ``right`` are broadcast. Both frames are read
+    twice and should be stored. ``n`` is left out of the result.
+    """
+    most = max(HOT_ROWS, total // SHARES)
+    hot = checkpoint(right.filter(F.col(n) > most).drop(n))
+    if hot.isEmpty():
+        return left.join(right.drop(n), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(n) <= most).drop(n), key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

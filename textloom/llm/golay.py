@@ -51,6 +51,20 @@ def anchors(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, words >> 11
 
 
+def reached(x: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, excess) for every anchor within RADIUS + slack; the excess is how far it lies beyond RADIUS."""
+    nearest = anchors(x, RADIUS)[1]
+    found = [(np.arange(len(x)), nearest, np.zeros(len(x), dtype=np.int8))]
+    seen = np.sort(found[0][0] << MESSAGE | nearest)
+    for k in range(1, slack + 1):
+        rows, anchor = anchors(x, RADIUS + k)
+        key = rows.astype(np.int64) << MESSAGE | anchor
+        new = ~np.isin(key, seen)
+        found.append((rows[new], anchor[new], np.full(int(new.sum()), k, dtype=np.int8)))
+        seen = np.append(seen, key[new])
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def blocks(bits: int) -> list[tuple[int, int]]:
     """Cut a fingerprint into (first bit, length) of 23 bits each; a rest under 12 bits is left out."""
     cut = [(i, min(LENGTH, bits - i)) for i in range(0, bits, LENGTH)]

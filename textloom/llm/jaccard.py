@@ -1,26 +1,37 @@
 """Groups of texts whose word shingles have a Jaccard similarity of LEAST or more, without loss.
 
 A text is the set of its word shingles' 64-bit hashes; texts with equal sets
-are one node. Two sets at a similarity of t or more share at least
-ceil(t * n) of the n members of either, so in any common order of all shingles
-their first n - ceil(t * n) + 1 members meet. The order is by how often a
-shingle's bucket of hashes occurs in the table, rare ones first, so that what
-many texts share (a common passage) is looked up last. Counts of ``BUCKETS``
-buckets have a fixed size; they only decide how much is compared.
+are one node, which has the SimHash fingerprint of its set.
+
+A first round of links comes from two sides: nodes whose fingerprints are
+close (simhash.py), and nodes that meet the smallest node at one of their
+rarest shingles. A second round takes all nodes that meet at a rare shingle
+while their groups still differ, so a large group of near copies costs no
+pairs of its own. Components of the links give the groups.
+
+The second round finds what the bits can't. Two sets at a similarity of t or
+more share at least ceil(t * n) of the n members of either, so in any common
+order of all shingles their first n - ceil(t * n) + 1 members meet. The order
+is by how often a shingle's bucket of hashes occurs in the table, rare ones
+first, so that what many texts share (a common passage) is looked up last.
+Counts of ``BUCKETS`` buckets have a fixed size; they only decide how much is
+compared.
 
 Nodes that meet are candidates unless their sizes or the places where they
-meet rule the similarity out; a candidate is a link if the whole sets have it.
-A first round compares each node with the smallest one at the same shingle, a
-second one all others whose groups still differ, so a large group of near
-copies costs no pairs of its own. Components of the links give the groups.
+meet rule the similarity out, or their fingerprints differ in more than
+``FAR`` of 256 bits: sets at 0.8 differ in a fifth of them at most on average,
+so a link is lost by that with a probability under 10^-10. A candidate is a
+link if the whole sets, taken from the texts again, have the similarity. Sets
+of all texts are never stored.
 
 A null text is an empty one; empty texts are one node. Texts under ``shingle``
-words have a single shingle. Repeated rows are members of their own.
+words have a single shingle. Repeated rows are members of their own; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import stored
+from textloom.llm.common import HOT_ROWS, SHARES, runs, stored
 from textloom.llm.components import components
 
 #: Similarity of a link, as a fraction: 0.8.
 OVER, UNDER = 4, 5
+#: Bits of the 256 of two fingerprints that differ at most.
+FAR = 96
 #: Buckets of the shingle counts, and the slices in which they are added up.
 BUCKETS, SLICES = 1 << 20, 16
-#: Compared nodes up to which their row numbers are broadcast, so that no other sets are shuffled.
+#: Compared nodes up to which their row numbers are broadcast, so that no other texts are shuffled.
 BROADCAST_NODES = 1_000_000
+_WORDS = 4
+_F = [f"f{i}" for i in range(_WORDS)]
 
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -53,6 +68,24 @@ def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([hash_(line[a:b]) for a, b in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype=np.uint64))
 
 
+def node_of(members: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh3_64_intdigest(members.tobytes(), 8), dtype=np.uint64).view(np.int64))
+
+
+def fingerprint(members: np.ndarray) -> np.ndarray:
+    """Four words of the majority of the members' hashes, bit by bit; the first of the hashes themselves, the others of what they are mixed to."""
+    counts = np.zeros(64 * _WORDS, dtype=np.int64)
+    for at in range(0, len(members), 4096):
+        x = members[at : at + 4096]
+        mixed = [x]
+        for _ in range(_WORDS - 1):
+            x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed.append(x ^ x >> np.uint64(32))
+        counts += np.unpackbits(np.stack(mixed, axis=1).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(members), bitorder="little").view("<u8")
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets have the similarity."""
     both = np.concatenate((a, b))
@@ -61,83 +94,80 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * shared >= OVER * (len(both) - shared)
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(_row, _id, node, set) from (_row, _id, _text)."""
+def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(_row, _id, node, f0 ..) from (_row, _id, _text); and rows of (slice, part), a partition's shingle counts by bucket."""
+    key_types = [docs.schema[c].dataType for c in ("_row", "_id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_row", "_id", "node", *_F, "slice", "part"]
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        types: list[pa.DataType] = []
         for whole in batches:
+            types = whole.schema.types
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                found = [shingles(t, shingle).tobytes() for t in b.column(2).to_pylist()]
-                node = np.array([xxhash.xxh3_64_intdigest(s, 8) for s in found], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(found, pa.binary())], names=["_row", "_id", "node", "set"])
-
-    fields = [docs.schema["_row"], docs.schema["_id"], T.StructField("node", T.LongType()), T.StructField("set", T.BinaryType())]
+                sets = [shingles(t, shingle) for t in b.column(2).to_pylist()]
+                total += np.bincount(np.concatenate(sets) % np.uint64(BUCKETS), minlength=BUCKETS)
+                node = pa.array([node_of(x) for x in sets], pa.int64())
+                f = np.stack([fingerprint(x) for x in sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(_WORDS)), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names=names)
+        if total.any():
+            none = [pa.nulls(SLICES, t) for t in (types[0], types[1], *[pa.int64()] * (1 + _WORDS))]
+            parts = [x.tobytes() for x in total.astype(np.uint32).reshape(SLICES, -1)]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
+
+    fields = [T.StructField(c, t) for c, t in zip(("_row", "_id"), key_types, strict=True)]
+    fields += [T.StructField(c, T.LongType()) for c in ("node", *_F)] + [T.StructField("slice", T.IntegerType()), T.StructField("part", T.BinaryType())]
     return docs.select("_row", "_id", "_text").mapInArrow(run, T.StructType(fields))
 
 
-def _counts(rows: DataFrame) -> np.ndarray:
-    """Shingles of all rows by bucket."""
+def _counts(parts: DataFrame) -> np.ndarray:
+    """Shingles of all rows by bucket, from (slice, part)."""
     width = BUCKETS // SLICES
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint64) % np.uint64(BUCKETS), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.astype(np.uint32).reshape(SLICES, width)], pa.binary())], names=["slice", "part"])
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 total.setdefault(k, np.zeros(width, dtype=np.int64))
-                total[k] += np.frombuffer(part, dtype=np.uint32)
+                total[k] += np.frombuffer(part, dtype=np.uint32 if len(part) == 4 * width else np.int64)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "part"])
 
     counts = np.zeros((SLICES, width), dtype=np.int64)
-    parts = rows.select("set").mapInArrow(count, "slice int, part binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, part binary")
-    for k, part in parts.toLocalIterator():  # one row a slice
-        counts[k] = np.frombuffer(bytes(part), dtype=np.int64)
+    # Sums of some partitions each, then sums of those: no task takes the parts of all.
+    some = parts.withColumn("_s", F.pmod(F.spark_partition_id(), F.lit(8))).repartition(SLICES * 8, "slice", "_s").drop("_s").mapInArrow(add, "slice int, part binary")
+    for k, part in some.repartition(SLICES, "slice").mapInArrow(add, "slice int, part binary").toLocalIterator():  # one row a slice
+        counts[k] += np.frombuffer(bytes(part), dtype=np.int64)
     return counts.reshape(-1)
 
 
-def _entries(rows: DataFrame) -> DataFrame:
-    """(shingle, node, at): a node's first shingles; at: their place, below the set's size in the upper half."""
-    shared = rows.sparkSession.sparkContext.broadcast(_counts(rows))
+def _entries(docs: DataFrame, shingle: int, counts: np.ndarray, hot: dict[int, int]) -> DataFrame:
+    """(shingle, node, at): a node's first shingles; at: their place, below the set's size in the upper half.
+
+    Of a hot node, {node: row}, only that row has entries.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((counts, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts, only = shared.value
+        none = np.zeros(0, dtype=np.int64)
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
-                parts, nodes, at = [], [], []
-                for node, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    x = np.frombuffer(s, dtype=np.uint64)
-                    n = len(x)
-                    k = n - -(-OVER * n // UNDER) + 1 if n else 0
+                parts, nodes, at = [none.view(np.uint64)], [none], [none]
+                for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    x = shingles(t, shingle)
+                    node, n = node_of(x), len(x)
+                    if not n or only.get(node, row) != row:
+                        continue
+                    k = n - -(-OVER * n // UNDER) + 1
                     parts.append(x[np.lexsort((x, counts[x % np.uint64(BUCKETS)]))[:k]])
                     nodes.append(np.full(k, node, dtype=np.int64))
                     at.append((n << 32) + np.arange(k, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(at))], names=["shingle", "node", "at"])
 
-    return rows.select("node", "set").mapInArrow(run, "shingle long, node long, at long")
-
-
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole runs of equal first columns, from batches sorted by them."""
-    held: list[list[np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        c = [b.column(n).to_numpy() for n in names]
-        last = int(np.searchsorted(c[0], c[0][-1]))
-        if last or (held and held[-1][0][-1] != c[0][0]):
-            yield [np.concatenate(x) for x in zip(*held, [y[:last] for y in c], strict=True)]
-            held = []
-        held.append([y[last:] for y in c])
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+    return docs.select("_row", "_text").mapInArrow(run, "shingle long, node long, at long")
 
 
 def _possible(at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -158,7 +188,7 @@ def _met(entries: DataFrame) -> DataFrame:
     names = ["shingle", "node", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, node, at in _runs(batches, names):
+        for x, node, at in runs(batches, names):
             if not len(x):
                 continue
             # Copies of a text have made equal entries.
@@ -191,7 +221,7 @@ def _across(met: DataFrame, groups: DataFrame) -> DataFrame:
     labelled = met.select("shingle", "node", "at").join(groups, "node", "left").select("shingle", "node", "at", F.coalesce("label", "node").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, node, at, label in _runs(batches, names):
+        for x, node, at, label in runs(batches, names):
             if not len(x):
                 continue
             start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
@@ -209,14 +239,27 @@ def _across(met: DataFrame, groups: DataFrame) -> DataFrame:
     return labelled.repartition(n, "shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose fingerprints don't rule the similarity out."""
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(f).alias(f"{side}{f}") for f in _F)), side)
+    differ = sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in _F), F.lit(0))
+    return pairs.filter(differ <= FAR).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """The pairs whose whole sets have the similarity."""
     pairs = stored(pairs)
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = stored(needed.join(nodes, "node").select(F.col("least._row").alias("_row")))
+    needed = stored(needed.join(nodes, "node").select(F.col("least._row").alias("_row"), "node"))
     if needed.count() <= BROADCAST_NODES:
         needed = F.broadcast(needed)
-    sets = stored(rows.select("_row", "node", "set").join(needed, "_row", "left_semi").select("node", "set"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "set"])
+
+    sets = stored(docs.select("_row", "_text").join(needed, "_row").select("node", "_text").mapInArrow(of, "node long, set binary"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,14 +270,21 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def least_rows(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(_row) of each group's smallest id; from (_row, _id, _text), rows told apart by _row, null ids first."""
-    rows = stored(_sets(docs, shingle))
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("_id").alias("id"), F.col("_row"))).alias("least")))
-    met = stored(_met(_entries(rows)))
-    links = _verified(_to_first(met), rows, nodes)
+def least_rows(docs: DataFrame, shingle: int, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(_row) of each group's smallest id; from (_row, _id, _text), rows told apart by _row, null ids first.
+
+    ``close`` gives pairs (a, b) of nodes (node, f0 ..) whose fingerprints are close.
+    """
+    signatures = stored(_signatures(docs, shingle))
+    rows = signatures.filter("slice is null")
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("_id").alias("id"), F.col("_row"))).alias("least"), F.count("*").alias("_n"), *(F.first(f).alias(f) for f in _F)))
+    most = max(HOT_ROWS, rows.count() // SHARES)
+    hot = {r[0]: r[1] for r in nodes.filter(F.col("_n") > most).select("node", "least._row").toLocalIterator()}  # under SHARES
+    counts = _counts(signatures.filter("slice is not null").select("slice", "part"))
+    met = stored(_met(_entries(docs, shingle, counts, hot)))
+    links = _verified(close(nodes).unionByName(_near(_to_first(met), nodes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, nodes, shingle)
     groups = stored(components(links))
-    links = links.unionByName(_verified(_across(met, groups), rows, nodes))
+    links = links.unionByName(_verified(_near(_across(met, groups), nodes), docs, nodes, shingle))
     groups = stored(components(links))
     of = nodes.join(groups, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("least").alias("least"))
     return of.select(F.col("least._row").alias("_row"))

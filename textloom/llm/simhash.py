@@ -3,28 +3,34 @@
 A text's fingerprint holds, bit by bit, the majority of its word shingles'
 hashes. Equal fingerprints are one node. To find the nodes within ``most``
 bits of each other, the fingerprint is cut into blocks of 23 bits, whose
-anchors are the words of a covering code of radius 3 (golay.py). Of two
-fingerprints that differ in ``most`` bits or fewer, some block differs in
-slack = most // blocks bits at most; there, the nearest anchor of either lies
-within 3 + slack bits of the other. So each node is replicated, block by
-block, to every anchor within 3 + slack, and at each anchor the nodes that
-have it as nearest are compared with all that reached it. With that slack no
-link is lost; a smaller one trades recall, which then is to be measured.
-
-An anchor's nodes are compared in chunks: where an anchor has gathered many,
-its chunks go to different tasks. A task hands on a spanning forest of the
-links it found, not the pairs, so a group of any size adds links in proportion
-to its members. Components of the links give the groups.
+anchors are the words of a covering code of radius 3 (golay.py): every string
+has an anchor within 3 bits. Anchors are used in pairs, one for each of two
+blocks, so there are 2^24 of them for each two blocks and few nodes at each.
+
+No link is lost: of two fingerprints that differ in ``most`` bits or fewer,
+some two blocks differ in t = 2 * most // blocks bits at most, taken together.
+A string half way between the two differs from either in (t + 1) // 2 bits at
+most, and its own pair of anchors lies no more beyond radius 3, block by block
+and added up, from both. So each node is replicated to every pair of anchors
+whose distances exceed 3 by (t + 1) // 2 in all, and at each pair of anchors
+the nodes that reached it are compared. With 64 bits and ``most`` 4 that is
+some 29 places a node, and two nodes meet at one in 120,000 by chance.
+
+Where more than ``CHUNK`` nodes meet they are dealt to chunks, and each two
+chunks are compared in a task of their own. A task hands on no link between
+nodes that its links connect already, so a group of any size adds links in
+proportion to its members. Components of the links give the groups.
 
 A null text is an empty one; a text without words has fingerprint zero, and is
 linked like any other. Null ids are ignored by the smallest id unless a group
 has no other. Repeated rows are members of their own. An empty table gives an
-empty result.
+empty result; other columns aren't read, or pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import golay, jaccard
-from textloom.llm.common import checkpoint, columns_of, stored, whole
+from textloom.llm.common import checkpoint, columns_of, join_hot, runs, stored, whole
 from textloom.llm.components import components
 
-#: Nearest nodes and reached nodes of an anchor that one task compares.
-HOME_CHUNK, REACH_CHUNK = 4096, 16384
+#: Nodes at a pair of anchors that are compared at once.
+CHUNK = 4096
+#: Pairs of anchors with more nodes (8 bytes each) up to which they are broadcast.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> list[int]:
@@ -80,134 +88,137 @@ def _columns(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
     return [batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names]
 
 
-def placed(nodes: DataFrame, words: int, slack: int) -> DataFrame:
-    """Rows (bucket, home, node, f..): every node at every anchor that it reaches; home: the anchor is its nearest."""
+def placed(nodes: DataFrame, words: int, most: int) -> DataFrame:
+    """Rows (bucket, node, f..): every node at every pair of anchors that it reaches."""
     names = [f"f{i}" for i in range(words)]
     cut = golay.blocks(64 * words)
+    two = list(combinations(range(len(cut)), 2)) if len(cut) > 1 else []
+    slack = (2 * most // len(cut) + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
                 f, node = _columns(b, names), b.column("node").to_numpy()
-                for i, (first, length) in enumerate(cut):
-                    x = golay.block_of(f, first, length)
-                    rows, anchor = golay.anchors(x, golay.RADIUS + slack)
-                    near_rows, near = golay.anchors(x, golay.RADIUS)
-                    nearest = np.empty(len(x), dtype=np.int32)
-                    nearest[near_rows] = near
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((anchor + i * (1 << golay.MESSAGE)).astype(np.int32)), pa.array(anchor == nearest[rows]), pa.array(node[rows]), *(pa.array(c.view(np.int64)[rows]) for c in f)],
-                        names=["bucket", "home", "node", *names],
-                    )
-
-    fields = [T.StructField("bucket", T.IntegerType()), T.StructField("home", T.BooleanType()), T.StructField("node", T.LongType()), *(T.StructField(n, T.LongType()) for n in names)]
+                by_excess = []
+                for first, length in cut:
+                    rows, anchor, excess = golay.reached(golay.block_of(f, first, length), slack)
+                    by_excess.append([(rows[excess == e], anchor[excess == e]) for e in range(slack + 1)])
+                for k, (i, j) in enumerate(two):
+                    for e in range(slack + 1):
+                        for d in range(slack + 1 - e):
+                            rows, x, y = _crossed(by_excess[i][e], by_excess[j][d], b.num_rows)
+                            bucket = (k << 2 * golay.MESSAGE) + (x.astype(np.int64) << golay.MESSAGE) + y
+                            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node[rows]), *(pa.array(c.view(np.int64)[rows]) for c in f)], names=["bucket", "node", *names])
+
+    fields = [T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType()), *(T.StructField(n, T.LongType()) for n in names)]
     return nodes.select("node", *names).mapInArrow(run, T.StructType(fields))
 
 
-def forest(home: list[np.ndarray], reach: list[np.ndarray], node: np.ndarray, home_node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (smallest node, member) of the components among ``reach`` and ``home`` that links between the two make."""
-    everyone = np.concatenate([node, home_node])
-    ids, of = np.unique(everyone, return_inverse=True)
+def _crossed(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (row, x, y) from (row, x) and (row, y); rows are under ``n``."""
+    order = np.argsort(b[0], kind="stable")
+    size = np.bincount(b[0], minlength=n)
+    begin = np.cumsum(size) - size
+    times = size[a[0]]
+    rows = np.repeat(a[0], times)
+    inside = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+    return rows, np.repeat(a[1], times), b[1][order][begin[rows] + inside]
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the edges (a, b): the smallest one of what they connect."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+
+
+def close_pairs(bucket: np.ndarray, part: np.ndarray, node: np.ndarray, f: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``most`` bits that connect all such pairs of a bucket; where ``part`` isn't -1, of its different parts.
+
+    Rows are sorted by bucket.
+    """
+    ids, of = np.unique(node, return_inverse=True)
     label = np.arange(len(ids))
-    reach_id, home_id = of[: len(node)], of[len(node) :]
-    step = max(1, (1 << 20) // max(1, len(node)))
-    for i in range(0, len(home_node), step):
-        distance = np.zeros((len(home_node[i : i + step]), len(node)), dtype=np.uint16)
-        for h, r in zip(home, reach, strict=True):
-            distance += np.bitwise_count(h[i : i + step, None] ^ r[None, :])
-        close = distance <= most
-        n = close.sum(axis=1)
-        for j in np.flatnonzero(n > 1):
-            linked = np.unique(label[np.append(reach_id[close[j]], home_id[i + j])])
-            if len(linked) > 1:
-                label[np.isin(label, linked)] = linked[0]
-        # Mostly the home itself, as a reached node; in another chunk, its only link.
-        single = np.flatnonzero(n == 1)
-        other = reach_id[close[single].argmax(axis=1)]
-        for j in np.flatnonzero(other != home_id[i + single]):
-            x, y = sorted((label[other[j]], label[home_id[i + single[j]]]))
-            if x != y:
-                label[label == y] = x
-    members = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[label[members]], ids[members]
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of equal keys from batches sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = np.stack([b.column(c).to_numpy() for c in keys])
-        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
-        for start, end in zip(cuts, cuts[1:], strict=False):
-            now = tuple(k[:, start].tolist())
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(start, end - start))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def links(nodes: DataFrame, words: int, most: int, slack: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect all nodes within ``most`` bits; nodes: (node, f..), one row a fingerprint."""
+    end = np.searchsorted(bucket, bucket, side="right")
+    a, b = [], []
+    i, gap = np.arange(len(bucket)), 1
+    while len(i := i[i + gap < end[i]]):
+        j = i + gap
+        distance = np.zeros(len(i), dtype=np.uint16)
+        for c in f:
+            distance += np.bitwise_count(c[i] ^ c[j])
+        ok = (distance <= most) & ((part[i] < 0) | (part[i] != part[j]))
+        ok[ok] = label[of[i[ok]]] != label[of[j[ok]]]
+        if ok.any():
+            x, y = of[i[ok]], of[j[ok]]
+            a.append(ids[x])
+            b.append(ids[y])
+            label = _joined(label, x, y)
+        gap += 1
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def links(nodes: DataFrame, words: int, most: int) -> DataFrame:
+    """Pairs (a, b) within ``most`` bits that connect all such nodes; nodes: (node, f..), one row a fingerprint."""
     names = [f"f{i}" for i in range(words)]
-    slack = most // len(golay.blocks(64 * words)) if slack is None else slack
-    rows = placed(nodes, words, slack)
-    # 4,096 anchors a block: the table of buckets has a fixed bound.
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("reached"), F.sum(F.col("home").cast("int")).alias("homes"))
-    counts = counts.filter("homes > 0 and reached > 1").select("bucket", F.ceil(F.col("homes") / HOME_CHUNK).cast("int").alias("hs"), F.ceil(F.col("reached") / REACH_CHUNK).cast("int").alias("rs"))
-    chunk = F.xxhash64("node")
-    own = rows.join(F.broadcast(checkpoint(counts)), "bucket").withColumns({"hc": F.pmod(chunk, F.col("hs")).cast("int"), "rc": F.pmod(chunk, F.col("rs")).cast("int")})
-    # A row is a reached node in its chunk of those, once a chunk of homes; and a home in its chunk, once a chunk of reached nodes.
-    as_reached = F.transform(F.sequence(F.lit(0), F.col("hs") - 1), lambda h: F.struct(h.alias("h"), F.col("rc").alias("r"), F.lit(False).alias("home")))
-    as_home = F.transform(F.sequence(F.lit(0), F.col("rs") - 1), lambda r: F.struct(F.col("hc").alias("h"), r.alias("r"), F.lit(True).alias("home")))
-    dealt = own.select("bucket", F.explode(F.when(F.col("home"), F.concat(as_reached, as_home)).otherwise(as_reached)).alias("x"), "node", *names).select("bucket", "x.*", "node", *names)
+    rows = placed(nodes, words, most)
+    full = checkpoint(rows.groupBy("bucket").agg(F.count("*").alias("_k")).filter(F.col("_k") > CHUNK).select("bucket", F.ceil(F.col("_k") / CHUNK).cast("int").alias("chunks")))
+    n_full = full.count()
+    if n_full:
+        own = rows.join(F.broadcast(full) if n_full <= BROADCAST_BUCKETS else full, "bucket", "left")
+        chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+        cells = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+        own = own.withColumn("_c", F.coalesce(chunk, F.lit(0))).withColumn("_o", F.explode(cells))
+        # In the cell of one chunk all are compared, in that of two those of one with those of the other.
+        rows = own.select("bucket", F.least("_c", "_o").alias("x"), F.greatest("_c", "_o").alias("y"), F.when(F.col("_c") == F.col("_o"), -1).otherwise(F.col("_c")).alias("part"), "node", *names)
+    else:
+        rows = rows.select("bucket", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(-1).alias("part"), "node", *names)
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "bucket", "h", "r").sortWithinPartitions("bucket", "h", "r")
+    dealt = rows.select(F.xxhash64("bucket", "x", "y").alias("cell"), "part", "node", *names).repartition(n, "cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["bucket", "h", "r"]):
-            b = t.combine_chunks().to_batches()[0]
-            home = b.column("home").to_numpy(zero_copy_only=False)
-            if home.any() and not home.all():
-                f, node = _columns(b, names), b.column("node").to_numpy()
-                x, y = forest([c[home] for c in f], [c[~home] for c in f], node[~home], node[home], most)
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+        for cell, part, node, *f in runs(batches, ["cell", "part", "node", *names]):
+            several = np.flatnonzero(np.append(False, cell[1:] == cell[:-1]) | np.append(cell[:-1] == cell[1:], False)) if len(cell) else []
+            if len(several):
+                x, y = close_pairs(cell[several], part[several], node[several], [c[several].view(np.uint64) for c in f], most)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1, most: int = 4, slack: int | None = None) -> DataFrame:
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, words: int = 1, most: int = 4) -> DataFrame:
     """(key, f.., component): the smallest key of all rows that links reach, itself included; one row a row of ``docs``."""
     names = [f"f{i}" for i in range(words)]
     node = F.col("f0") if words == 1 else F.xxhash64(*names)
     docs = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     rows = stored(fingerprints(docs, "_k", "_t", shingle, words).withColumn("node", node))
     # Equal fingerprints meet before anything else, so copies of a text are one node.
-    nodes = stored(rows.groupBy("node", *names).agg(F.min("_k").alias("least")))
-    found = stored(components(links(nodes, words, most, slack)))
-    least = nodes.join(found, "node").groupBy("label").agg(F.min("least").alias("component"))
-    of = found.join(least, "label").select("node", "component")
-    of = nodes.join(of, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    return rows.join(of, "node").select(F.col("_k").alias(key), *names, "component")
+    nodes = stored(rows.groupBy("node", *names).agg(F.min("_k").alias("least"), F.count("*").alias("_n")))
+    found = stored(components(links(nodes, words, most)))
+    least = nodes.join(found, "node").groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("_m"))
+    of = join_hot(found, stored(least), "label", "_m", found.count()).select("node", "component")
+    of = stored(nodes.join(of, "node", "left").select("node", "_n", F.coalesce("component", "least").alias("component")))
+    return join_hot(rows, of, "node", "_n", rows.count()).select(F.col("_k").alias(key), *names, "component")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, most: int = 4) -> DataFrame:
     """One row of each group of near copies, that with the smallest key, with the columns of the input.
 
     Near copies are texts whose ``shingle``-word shingles have a Jaccard
-    similarity of 0.8 or more, counted exactly (jaccard.py): 256 bits can only
-    estimate it. ``docs`` is to be a stored table: rows are told apart by their
-    position in it.
+    similarity of 0.8 or more. The fingerprints within ``most`` bits, found at
+    their anchors, are candidates, which are counted exactly; as no number of
+    bits tells 0.8 from 0.79, an exact join of shingles finds the links that
+    are left (jaccard.py). ``docs`` is to be a stored table: rows are told
+    apart by their position in it.
     """
     rows = docs.select(whole(docs).alias("_in"), F.monotonically_increasing_id().alias("_row"))
-    kept = jaccard.least_rows(rows.select("_row", F.col("_in").getField(key).alias("_id"), F.col("_in").getField(text).alias("_text")), shingle)
+    kept = jaccard.least_rows(rows.select("_row", F.col("_in").getField(key).alias("_id"), F.col("_in").getField(text).alias("_text")), shingle, lambda nodes: links(nodes.select("node", "f0"), 1, most))
     return rows.join(kept, "_row", "left_semi").select(*columns_of(docs))
 
 
