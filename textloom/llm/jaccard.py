@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import HOT_ROWS, SHARES, runs, stored
+from textloom.llm.common import HOT_ROWS, SHARES, forget, runs, stored
 from textloom.llm.components import components
 
 #: Similarity of a link, as a fraction: 0.8.
@@ -252,14 +252,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int)
     pairs = stored(pairs)
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = stored(needed.join(nodes, "node").select(F.col("least._row").alias("_row"), "node"))
-    if needed.count() <= BROADCAST_NODES:
-        needed = F.broadcast(needed)
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "set"])
 
-    sets = stored(docs.select("_row", "_text").join(needed, "_row").select("node", "_text").mapInArrow(of, "node long, set binary"))
+    sets = stored(docs.select("_row", "_text").join(few, "_row").select("node", "_text").mapInArrow(of, "node long, set binary"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +266,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int)
             ok = [similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    links = stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    forget(pairs, needed, sets)
+    return links
 
 
 def least_rows(docs: DataFrame, shingle: int, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -285,6 +286,8 @@ def least_rows(docs: DataFrame, shingle: int, close: Callable[[DataFrame], DataF
     links = _verified(close(nodes).unionByName(_near(_to_first(met), nodes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, nodes, shingle)
     groups = stored(components(links))
     links = links.unionByName(_verified(_near(_across(met, groups), nodes), docs, nodes, shingle))
-    groups = stored(components(links))
-    of = nodes.join(groups, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("least").alias("least"))
-    return of.select(F.col("least._row").alias("_row"))
+    forget(met)
+    of = nodes.join(components(links), "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("least").alias("least"))
+    kept = stored(of.select(F.col("least._row").alias("_row")))
+    forget(signatures, nodes)
+    return kept

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from textloom.llm.common import stored
+from textloom.llm.common import forget, stored
 from textloom.llm.suffixes import long_common, suffix_array
 
 LEAST, GRAM = 200, 32
@@ -59,7 +59,7 @@ BROADCAST_KEYS, SALTS = 500_000, 16
 #: Bytes of a shard: the next context goes to another one.
 SHARD = 1 << 19
 #: Bytes whose windows are hashed at once, and bits of a position in them.
-_CHUNK, _PLACE = 1 << 20, 21
+_CHUNK, _PLACE = 1 << 18, 21
 #: Never part of UTF-8: the end of a string in a shard, and the begin of a context's number there, which has three bytes under 128.
 _GAP, _CONTEXT = b"\xff", b"\xfe"
 
@@ -314,11 +314,12 @@ def _split(parts: DataFrame, hot: DataFrame, n: int) -> tuple[DataFrame, DataFra
     return parts.join(hot, on, "left_anti"), parts.join(hot, on, "left_semi")
 
 
-def _shared(parts: DataFrame) -> DataFrame:
-    """(gram, seg, wins) of all parts."""
-    width, out = WIDTH, []
+def _shared(parts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(gram, seg, wins) of all parts, and the stored tables that it is made of."""
+    width, out, made = WIDTH, [], [parts]
     while True:
         hot = stored(parts.groupBy("gram", "key").agg(F.count("*").alias("_k")).filter(F.col("_k") > HOT).select("gram", "key"))
+        made.append(hot)
         n = hot.count()
         cold, own = _split(parts, hot, n) if n else (parts, None)
         out.append(_by_shard(cold, width))
@@ -327,9 +328,10 @@ def _shared(parts: DataFrame) -> DataFrame:
         if own is None or width == 1:
             break
         parts, width = stored(_halved(own, width)), (width + 1) // 2
+        made.append(parts)
     while len(out) > 1:
         out[-2:] = [out[-2].unionByName(out[-1])]
-    return out[0]
+    return out[0], made
 
 
 def covered(rows: DataFrame) -> DataFrame:
@@ -340,8 +342,10 @@ def covered(rows: DataFrame) -> DataFrame:
     several = distinct.groupBy("gram").agg(F.count("*").alias("_k")).filter("_k > 1").select("gram")
     parts = stored(_fetched(rows, distinct.join(several, "gram").withColumn("once", F.col("copies") == 1)))
     whole = distinct.filter("copies > 1").select("gram", "seg", F.array(F.lit(0), F.col("n")).alias("wins"))
-    wins = whole.unionByName(_shared(parts))
-    return every.join(wins, ["gram", "seg"]).groupBy("row").agg(F.collect_list(F.struct("lo", "wins")).alias("cover"))
+    wins, made = _shared(parts)
+    cover = stored(every.join(whole.unionByName(wins), ["gram", "seg"]).groupBy("row").agg(F.collect_list(F.struct("lo", "wins")).alias("cover")))
+    forget(every, distinct, *made)
+    return cover
 
 
 def removed(lengths: np.ndarray, cover: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
