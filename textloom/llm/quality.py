@@ -13,7 +13,8 @@ a hash of their id. On rows left out of that, a temperature is fitted that
 makes its probabilities honest. Scoring is one pass over all texts.
 
 Null and empty texts pool to zeros and are scored like any text. Repeated rows
-are scored each; labels that repeat an id count once, as the highest. A null
+are scored each; of rows with one id the smallest text is learned from, and
+labels that repeat an id count once, as the highest. A null
 id counts as ''. Without both labels among the training rows the score is the
 label's share, or 0.5. An empty table gives an empty result; other columns
 aren't read.
@@ -204,7 +205,7 @@ def labelled(labels: DataFrame, column: str, rows: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
     table = context_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    few = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, label, rows)), F.col("doc_id") == F.col("_key")).select("_key", "_label", "text")
+    few = docs.select("doc_id", "text").join(F.broadcast(labelled(labels, label, rows)), F.col("doc_id") == F.col("_key")).groupBy("_key", "_label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Rows()

@@ -1,7 +1,7 @@
 """Toxicity as a severity grade, by cumulative-link ordinal regression.
 
-A text's features are the set of its words and of their five-byte beginnings,
-hashed. Grades run from 0 (not toxic) to 3: labels only tell toxic from not,
+A text's features are the set of its words, without signs around them, and of
+their beginnings of four and six bytes, hashed. Grades run from 0 (not toxic) to 3: labels only tell toxic from not,
 so toxic training texts are graded by how many telling features they have, cut
 into thirds. P(grade <= k) = sigmoid(threshold k - score): one set of weights
 for all grades, thresholds in order. The weights are fitted by proximal
@@ -9,11 +9,13 @@ gradient steps, whose shrinkage leaves uninformative features at zero. A text's
 result is the expected severity, the sum over k of P(grade >= k).
 
 The fit takes ``TRAIN_ROWS`` labelled rows of each label at most, the first by
-a hash of their id; scoring is one pass over all texts.
+a hash of their id. How often each feature occurs in them is counted where the
+rows are; the driver gets the features that are chosen, ``FEATURES`` a row at
+most. Scoring is one pass over all texts.
 
 Null and empty texts have no features and get the severity of the thresholds
-alone. Repeated rows are scored each; a repeated label counts once, as the
-highest. Without both labels nothing is toxic. An empty table gives an empty
+alone. Repeated rows are scored each; of rows with one id the smallest text is
+learned from, and a repeated label counts once, as the highest. Without both labels nothing is toxic. An empty table gives an empty
 result; other columns aren't read.
 """
 
@@ -28,22 +30,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.llm.common import forget, stored
+
 #: Labelled rows of each label that the driver takes at most.
 TRAIN_ROWS = 6_000
 GRADES = 3
 #: Hashed features, and those of them that get a weight at most.
 SPACE, FEATURES = 1 << 18, 8192
 #: A feature's log-odds of toxic against not are that many standard errors above 0, and that large, at least.
-LEAST_Z, LEAST_ODDS = 3.0, 3.0
-_EDGES = b".,;:!?\"'()[]{}"
-_STEM = 5
+LEAST_Z, LEAST_ODDS = 2.5, 1.0
+_EDGES = b".,;:!?\"'()[]{}<>#*%&$@^~_+=|/\\-`"
+#: Bytes of a word's beginnings that are features of their own.
+_STEMS = (4, 6)
 
 
 def _of_word(word: bytes) -> tuple[int, ...]:
     word = word.strip(_EDGES)
-    if len(word) < _STEM:
-        return (zlib.crc32(word) % SPACE,) if word else ()
-    return zlib.crc32(word) % SPACE, zlib.crc32(b"^" + word[:_STEM]) % SPACE
+    if not word:
+        return ()
+    return (zlib.crc32(word) % SPACE, *(zlib.crc32(b"^%d" % n + word[:n]) % SPACE for n in _STEMS if len(word) >= n))
 
 
 def features(text: str | None) -> np.ndarray:
@@ -54,21 +59,17 @@ def features(text: str | None) -> np.ndarray:
 class Model:
     """Weights by hashed feature and the ordered thresholds."""
 
-    def __init__(self, texts: list[np.ndarray], toxic: np.ndarray, steps: int = 300, shrink: float = 1e-3):
+    def __init__(self, texts: list[np.ndarray], toxic: np.ndarray, steps: int = 300, shrink: float = 1e-3, counts: np.ndarray | None = None):
+        """``texts`` need no features but the chosen ones if ``counts`` has the counts of all, by label and feature."""
         self.weights: dict[int, float] = {}
         self.thresholds = np.full(GRADES, 40.0)
         if not 0 < toxic.sum() < len(toxic):
             return
         rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         flat = np.concatenate(texts)
-        n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
-        k1 = np.bincount(flat[toxic[rows]], minlength=SPACE)
-        k0 = np.bincount(flat[~toxic[rows]], minlength=SPACE)
-        odds = np.log((k1 + 0.5) / (n1 - k1 + 0.5)) - np.log((k0 + 0.5) / (n0 - k0 + 0.5))
-        error = np.sqrt(1 / (k1 + 0.5) + 1 / (n1 - k1 + 0.5) + 1 / (k0 + 0.5) + 1 / (n0 - k0 + 0.5))
-        z = np.where((k1 >= 3) & (odds >= LEAST_ODDS), odds / error, 0)  # a text is toxic by what it says, not by what it leaves out
-        chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-        chosen = chosen[z[chosen] > LEAST_Z]
+        if counts is None:
+            counts = np.array([np.bincount(flat[toxic[rows] == k], minlength=SPACE) for k in (False, True)])
+        chosen, odds, z = chosen_features(counts, np.array([(~toxic).sum(), toxic.sum()]))
         place = np.full(SPACE, -1, dtype=np.int64)
         place[chosen] = np.arange(len(chosen))
         ok = place[flat] >= 0
@@ -108,6 +109,16 @@ class Model:
         return 1 - _sigmoid(self.thresholds[None, :] - scores[:, None])
 
 
+def chosen_features(counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features that get a weight, and all features' log-odds and standard errors above 0, from counts by label and feature."""
+    (k0, k1), (n0, n1) = counts, rows
+    odds = np.log((k1 + 0.5) / (n1 - k1 + 0.5)) - np.log((k0 + 0.5) / (n0 - k0 + 0.5))
+    error = np.sqrt(1 / (k1 + 0.5) + 1 / (n1 - k1 + 0.5) + 1 / (k0 + 0.5) + 1 / (n0 - k0 + 0.5))
+    z = np.where((k1 >= 3) & (odds >= LEAST_ODDS), odds / error, 0)  # a text is toxic by what it says, not by what it leaves out
+    chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
+    return chosen[z[chosen] > LEAST_Z], odds, z
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -138,15 +149,41 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_key")).agg((F.max(label) > 0).alias("_toxic"))
     order = (F.xxhash64("_key"), F.col("_key"))
     few = own.filter("_toxic").orderBy(*order).limit(rows).unionByName(own.filter("not _toxic").orderBy(*order).limit(rows))
-    few = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_key")).select("_key", "_toxic", "text")
+    few = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_key")).groupBy("_key", "_toxic").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["key", "toxic", "x"])
 
-    got = few.mapInArrow(run, T.StructType([T.StructField("key", few.schema["_key"].dataType), T.StructField("toxic", T.BooleanType()), T.StructField("x", T.BinaryType())])).toArrow()
+    schema = T.StructType([T.StructField("key", few.schema["_key"].dataType), T.StructField("toxic", T.BooleanType()), T.StructField("x", T.BinaryType())])
+    found = stored(few.mapInArrow(run, schema))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((2, SPACE), dtype=np.int32), np.zeros(2, dtype=np.int32)
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[int(k)][np.frombuffer(x, dtype=np.int32)] += 1
+                n[int(k)] += 1
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["part", "n"])
+
+    counts, n = np.zeros((2, SPACE), dtype=np.int64), np.zeros(2, dtype=np.int64)
+    for part, own in found.select("toxic", "x").coalesce(8).mapInArrow(count, "part binary, n binary").toLocalIterator():  # of fixed size and number
+        counts += np.frombuffer(bytes(part), dtype=np.int32).reshape(2, SPACE)
+        n += np.frombuffer(bytes(own), dtype=np.int32)
+    place = np.zeros(SPACE, dtype=bool)
+    place[chosen_features(counts, n)[0]] = True
+    shared = docs.sparkSession.sparkContext.broadcast(place)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [np.frombuffer(v, dtype=np.int32) for v in b.column(2).to_pylist()]
+            yield b.set_column(2, "x", pa.array([v[shared.value[v]].tobytes() for v in x], pa.binary()))
+
+    got = found.mapInArrow(cut, schema).toArrow()
+    forget(found)
     rows_ = sorted(zip(*(got.column(c).to_pylist() for c in ("key", "toxic", "x")), strict=True), key=lambda r: (r[0], r[2]))
-    return Model([np.frombuffer(r[2], dtype=np.int32) for r in rows_], np.array([r[1] for r in rows_], dtype=bool))
+    return Model([np.frombuffer(r[2], dtype=np.int32) for r in rows_], np.array([r[1] for r in rows_], dtype=bool), counts=counts)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", cut: float = 0.4) -> DataFrame:
