@@ -1,15 +1,17 @@
 """Line dedup by site-relative frequency, in DataFrame functions alone.
 
 A line is boilerplate of a site if it stands on more than ``ratio`` of the
-site's pages, on ``min_pages`` pages at least. Lines are counted once a page;
-a site is the host of the page's address.
+site's pages, on ``min_pages`` pages at least: two, as a line on one page
+repeats nothing, however few pages the site has. Lines are counted once a
+page; a site is the host of the page's address.
 
 A page of n lines adds n counts, so a site whose pages have m lines on average
 has at most m / ratio boilerplate lines: they go back to the pages as one
 short list a site, whatever the site's size, and no line is joined.
 
 Null addresses and those without a host share the site ''. A null text has no
-line. Lines are compared and kept trimmed; blank ones vanish. Repeated rows
+line. Lines are compared and kept without ASCII white space around them; blank
+ones vanish. Repeated rows
 are pages of their own, an empty table gives an empty result, extra columns
 pass through, whatever their names, but for those in ``into``, which are
 replaced.
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import checkpoint, columns_of, whole
 
-#: Rows of the per-site table up to which it is broadcast.
-BROADCAST_SITES = 20_000
+#: Sites with boilerplate and marks of lines (some 50 bytes each) up to which the per-site table is broadcast.
+BROADCAST_SITES, BROADCAST_MARKS = 20_000, 500_000
 #: Copies of that table and parts of a site beyond it.
 SALTS = 16
 
@@ -39,7 +41,7 @@ def html_lines(html: Column) -> Column:
 
 
 def text_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r"))), lambda x: x != "")
 
 
 def _mark(line: Column) -> Column:
@@ -54,11 +56,12 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     return over.groupBy("_site").agg(F.collect_list("_mark").alias("_drop"))
 
 
-def dedup(pages: DataFrame, lines: Column | None = None, site: Column | None = None, ratio: float = 0.1, min_pages: int = 5, into: tuple[str, str, str] = ("site", "lines", "kept")) -> DataFrame:
+def dedup(pages: DataFrame, lines: Column | None = None, site: Column | None = None, ratio: float = 0.1, min_pages: int = 2, into: tuple[str, str, str] = ("site", "lines", "kept")) -> DataFrame:
     """Add the site, the array of all lines and the array of those kept."""
     df = pages.select(whole(pages).alias("_in"), (host(F.col("url")) if site is None else site).alias("_site"), (html_lines(F.col("html")) if lines is None else lines).alias("_lines"))
     drop = checkpoint(boilerplate(df.select("_site", "_lines"), ratio, min_pages))
-    if drop.count() <= BROADCAST_SITES:
+    sites, marks = drop.agg(F.count("*"), F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()
+    if sites <= BROADCAST_SITES and marks <= BROADCAST_MARKS:
         df = df.join(F.broadcast(drop), "_site", "left")
     else:
         salted = drop.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -78,12 +78,12 @@ _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lamb
 _OP2 = r"""
 WITH p AS (
   SELECT row_number() OVER () AS r, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
-    list_filter(list_transform(string_split(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+    list_filter(list_transform(string_split(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS lines
   FROM pages),
 l AS (SELECT r, host, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM p),
 n AS (SELECT host, line, count(DISTINCT r) AS n FROM l GROUP BY host, line),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-b AS (SELECT n.host, n.line FROM n JOIN t USING (host) WHERE n.n >= 5 AND n.n > 0.1::DOUBLE * t.pages),
+b AS (SELECT n.host, n.line FROM n JOIN t USING (host) WHERE n.n >= 2 AND n.n > 0.1::DOUBLE * t.pages),
 k AS (SELECT l.r, string_agg(l.line, chr(10) ORDER BY l.i) AS kept_text, count(*) AS kept FROM l LEFT JOIN b ON b.host = l.host AND b.line = l.line WHERE b.line IS NULL GROUP BY l.r)
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(kept, 0))::BIGINT AS n_dropped, coalesce(kept_text, '') AS kept_text FROM p LEFT JOIN k USING (r)
 """
