@@ -3,26 +3,29 @@
 A text is the set of its word shingles' 64-bit hashes; texts with equal sets
 are one node, which has the SimHash fingerprint of its set.
 
-A first round of links comes from two sides: nodes whose fingerprints are
-close (simhash.py), and nodes that meet the smallest node at one of their
-rarest shingles. A second round takes all nodes that meet at a rare shingle
-while their groups still differ, so a large group of near copies costs no
-pairs of its own. Components of the links give the groups.
-
-The second round finds what the bits can't. Two sets at a similarity of t or
-more share at least ceil(t * n) of the n members of either, so in any common
-order of all shingles their first n - ceil(t * n) + 1 members meet. The order
-is by how often a shingle's bucket of hashes occurs in the table, rare ones
-first, so that what many texts share (a common passage) is looked up last.
-Counts of ``BUCKETS`` buckets have a fixed size; they only decide how much is
-compared.
-
-Nodes that meet are candidates unless their sizes or the places where they
-meet rule the similarity out, or their fingerprints differ in more than
-``FAR`` of 256 bits: sets at 0.8 differ in a fifth of them at most on average,
-so a link is lost by that with a probability under 10^-10. A candidate is a
-link if the whole sets, taken from the texts again, have the similarity. Sets
-of all texts are never stored.
+Candidates come from two sides: nodes whose fingerprints are close
+(simhash.py), and nodes that meet at one of their rarest shingles, as the bits
+can't find them all. Two sets at a similarity of t or more share at least
+ceil(t * n) of the n members of either, so in any common order of all shingles
+their first n - ceil(t * n) + 1 members meet. The order is by how often a
+shingle's bucket of hashes occurs in the table, rare ones first, so that what
+many texts share (a common passage) is looked up last. Counts of ``BUCKETS``
+buckets have a fixed size; they only decide how much is compared.
+
+Where many meet, each is compared with its next few in a first round, with
+more in a second, and with all in a last one, each time only with those of
+other groups; components of the links so far are the groups. So a large group
+of near copies is joined up by few pairs, and no pair that could link two
+groups is left out.
+
+Nodes that meet are candidates unless their sizes and the places where they
+meet rule the similarity out. Of the places where two similar sets meet, the
+first one counts: all that they share comes from there on, so sets with many
+rare members of their own are never paired. Nor are those whose fingerprints
+differ in more than ``FAR`` of 256 bits: sets at 0.8 differ in a fifth of them
+at most on average, so a link is lost by that with a probability under 10^-10.
+A candidate is a link if the whole sets, taken from the texts again, have the
+similarity. Sets of all texts are never stored.
 
 A null text is an empty one; empty texts are one node. Texts under ``shingle``
 words have a single shingle. Repeated rows are members of their own; an empty
@@ -51,6 +54,8 @@ FAR = 96
 BUCKETS, SLICES = 1 << 20, 16
 #: Compared nodes up to which their row numbers are broadcast, so that no other texts are shuffled.
 BROADCAST_NODES = 1_000_000
+#: The neighbours, in the order of those that meet, that each is compared with in each round; the last one takes all.
+ROUNDS = ((1, 8), (9, 64), (65, None))
 _WORDS = 4
 _F = [f"f{i}" for i in range(_WORDS)]
 
@@ -171,9 +176,9 @@ def _entries(docs: DataFrame, shingle: int, counts: np.ndarray, hot: dict[int, i
 
 
 def _possible(at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether sets that meet at these places can have the similarity."""
+    """Whether sets whose first common member has these places can have the similarity: no other lies before it."""
     n, p = at >> 32, at & 0xFFFFFFFF
-    most = 1 + np.minimum(p[i], p[j]) + np.minimum(n[i] - p[i], n[j] - p[j]) - 1
+    most = np.minimum(n[i] - p[i], n[j] - p[j])
     return (UNDER + OVER) * most >= OVER * (n[i] + n[j])
 
 
@@ -183,7 +188,7 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _met(entries: DataFrame) -> DataFrame:
-    """The entries whose shingle another node has too, each with the smallest node there, and that one's place."""
+    """The entries whose shingle another node has too."""
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["shingle", "node", "at"]
 
@@ -196,29 +201,17 @@ def _met(entries: DataFrame) -> DataFrame:
             x, node, at = x[new], node[new], at[new]
             start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
             size = np.diff(np.append(start, len(x)))
-            first = np.repeat(start, size)
             own = np.flatnonzero(np.repeat(size, size) > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[own], node[own], at[own], node[first[own]], at[first[own]])], names=[*names, "first", "first_at"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[own], node[own], at[own])], names=names)
 
-    return entries.repartition(n, "shingle").sortWithinPartitions("shingle", "node").mapInArrow(run, "shingle long, node long, at long, first long, first_at long")
+    return entries.repartition(n, "shingle").sortWithinPartitions("shingle", "node").mapInArrow(run, "shingle long, node long, at long")
 
 
-def _to_first(met: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, at, first, first_at = (b.column(n).to_numpy() for n in ("node", "at", "first", "first_at"))
-            i = np.arange(len(node))
-            ok = (node != first) & _possible(np.concatenate((at, first_at)), i, i + len(node))
-            yield _pairs(node[ok], first[ok])
-
-    return met.mapInArrow(run, "a long, b long").distinct()
-
-
-def _across(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """All other pairs that meet, of nodes of different groups so far."""
+def _across(met: DataFrame, groups: DataFrame | None, low: int, high: int | None) -> DataFrame:
+    """Pairs that meet, of nodes of different groups so far, each with its ``low``-th to ``high``-th next."""
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["shingle", "node", "at", "label"]
-    labelled = met.select("shingle", "node", "at").join(groups, "node", "left").select("shingle", "node", "at", F.coalesce("label", "node").alias("label"))
+    label = met.withColumn("label", F.col("node")) if groups is None else met.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, node, at, label in runs(batches, names):
@@ -228,15 +221,15 @@ def _across(met: DataFrame, groups: DataFrame) -> DataFrame:
             size = np.diff(np.append(start, len(x)))
             mixed = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
             end = np.repeat(start + size, size)
-            i, gap = np.flatnonzero(np.repeat(mixed, size)), 1
-            while len(i := i[i + gap < end[i]]):
+            i, gap = np.flatnonzero(np.repeat(mixed, size)), low
+            while (high is None or gap <= high) and len(i := i[i + gap < end[i]]):
                 j = i + gap
                 ok = (label[i] != label[j]) & _possible(at, i, j)
                 if ok.any():
                     yield _pairs(node[i[ok]], node[j[ok]])
                 gap += 1
 
-    return labelled.repartition(n, "shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long").distinct()
+    return label.select(*names).repartition(n, "shingle").sortWithinPartitions("shingle", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -248,8 +241,7 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """The pairs whose whole sets have the similarity."""
-    pairs = stored(pairs)
+    """The pairs, a stored table, whose whole sets have the similarity."""
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = stored(needed.join(nodes, "node").select(F.col("least._row").alias("_row"), "node"))
     few = F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed
@@ -267,7 +259,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     links = stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-    forget(pairs, needed, sets)
+    forget(needed, sets)
     return links
 
 
@@ -283,11 +275,19 @@ def least_rows(docs: DataFrame, shingle: int, close: Callable[[DataFrame], DataF
     hot = {r[0]: r[1] for r in nodes.filter(F.col("_n") > most).select("node", "least._row").toLocalIterator()}  # under SHARES
     counts = _counts(signatures.filter("slice is not null").select("slice", "part"))
     met = stored(_met(_entries(docs, shingle, counts, hot)))
-    links = _verified(close(nodes).unionByName(_near(_to_first(met), nodes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, nodes, shingle)
-    groups = stored(components(links))
-    links = links.unionByName(_verified(_near(_across(met, groups), nodes), docs, nodes, shingle))
+    groups = links = None
+    for low, high in ROUNDS:
+        pairs = _near(_across(met, groups, low, high), nodes)
+        if links is None:
+            pairs = pairs.unionByName(close(nodes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+        pairs = stored(pairs)
+        if links is None or not pairs.isEmpty():
+            found = _verified(pairs, docs, nodes, shingle)
+            links = found if links is None else links.unionByName(found)
+            groups = stored(components(links))
+        forget(pairs)
     forget(met)
-    of = nodes.join(components(links), "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("least").alias("least"))
+    of = nodes.join(groups, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("least").alias("least"))
     kept = stored(of.select(F.col("least._row").alias("_row")))
     forget(signatures, nodes)
     return kept
