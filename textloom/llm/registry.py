@@ -120,6 +120,37 @@ SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN u < rate - f
 """
 
 
+def _op7() -> str:
+    """Each rule's matches as gap and match in turn; running sums of their lengths are the offsets."""
+    parts = []
+    for k, r in enumerate(secrets.RULES):
+        rx = "(?s)(.*?)(" + r.regex.replace("'", "''") + ")"
+        g, m, q = (f"regexp_extract_all(t, '{rx}', {i})" for i in (1, 2, r.group + 2))
+        parts.append(f"SELECT r, {k} AS k, '{r.kind}' AS kind, unnest(range(1, len(g) + 1)) AS i, unnest(g) AS gap, unnest(m) AS hit, unnest(list_transform(q, lambda x: length(x) >= {r.least})) AS ok FROM (SELECT r, {g} AS g, {m} AS m, {q} AS q FROM d)")
+    counts = ", ".join(f"coalesce(count(*) FILTER (k = {k}), 0)::BIGINT AS n_{r.kind}" for k, r in enumerate(secrets.BASE))
+    named = ", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secrets.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+p AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT r, k, kind, ok, length(hit) AS n, sum(length(gap) + length(hit)) OVER (PARTITION BY r, k ORDER BY i) AS e FROM p),
+j AS (SELECT r, {counts}, string_agg(kind || ':' || (e - n)::BIGINT || ':' || e::BIGINT, ',' ORDER BY e - n, k) AS spans,
+  string_agg(kind || ':' || (e - n)::BIGINT || ':' || e::BIGINT, ',' ORDER BY e - n, k) FILTER (k < {len(secrets.BASE)}) AS base FROM s WHERE ok GROUP BY r)
+SELECT doc_id, {named}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (r)
+"""
+
+
+#: CRC-32 byte by byte: a table by its rule, then one step a byte.
+_OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(strlen(text), 0)::BIGINT + 16 AS size, hex(encode(coalesce(text, ''))) AS t, md5('8:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS steps),
+c AS (SELECT r, xor(list_reduce(list_transform(range(0, length(t) // 2), lambda i: ('0x' || substring(t, 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM d, crc),
+a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM d),
+b AS (SELECT *, row_number() OVER (ORDER BY (2 * k + 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS FIRST, h) - 1 AS pos, count(*) OVER () AS total FROM a),
+s AS (SELECT *, (((pos + 1) * 40 - 1) // total)::INT AS shard FROM b)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, (pos - (shard * total) // 40)::BIGINT AS slot, NULL::INT AS grown_shard FROM s JOIN c USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express over whole tables."""
-    return {"op2_line_dedup": _OP2, "op9_quality_rules": _OP9, "op10_mixing": _OP10}
+    return {"op2_line_dedup": _OP2, "op7_secret_scan": _op7(), "op8_sharding": _OP8, "op9_quality_rules": _OP9, "op10_mixing": _OP10}
