@@ -295,3 +295,86 @@ def test_job_over_a_tree(spark, tmp_path):
     sinks.write(df, str(tmp_path / "xml"), "xml")
     assert spark.read.format("xml").option("rowTag", "file").load(str(tmp_path / "xml")).count() == 4
     assert json.dumps(sinks.dotted("file_code_content")) == '"file.code+content"'
+
+
+def test_lines_of_one_checksum_stay_apart(spark):
+    """Both lines have the CRC-32 of the other."""
+    a, b = "val_7666 = 53662", "val_174098 = 1218686"
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+    got = {r.dupe_content: r.dupe_count for r in analyze.dupe_lines(files(spark, f"{a}\n{b}\n{a}\n")).collect()}
+    assert got == {a: 2, b: 1}
+    got = {r.dupe_content: (r.dupe_count, r.dupe_files) for r in analyze.shared_lines(files(spark, f"{a}\n{b}\n", f"{a}\n")).collect()}
+    assert got == {a: (2, 2)}
+
+
+@pytest.mark.parametrize("indent", [2, 4, 8])
+def test_tabs_count_by_the_indent_option(spark, indent):
+    text = "def a(x):\n\ty = 1\n\t\tif x:\n\t\t\treturn 1\n\tz = 2\n"
+    options = (("ROUTINE_NESTING_INDENT", str(indent)),)
+    got = [(r.routine_name, r.routine_maxNesting) for r in routines.routines(files(spark, text), profile("Code", options), (param(r"def\s+(\w+)"),)).collect()]
+    assert got == [("a", 2)]
+
+
+def test_merged_starts_keep_their_text(spark):
+    text = "void a()\nvoid b() {\n  x = 1;\n  y = 2;\n  z = 3;\n}\n"
+    got = [r.routine_line for r in routines.routines(files(spark, text), "Code", (param(r"void\s+(\w+)"),)).collect()]
+    assert got == ["void a()void b() {"]
+
+
+def test_includes_of_a_job(spark, tmp_path):
+    (tmp_path / "sub" / "more").mkdir(parents=True)
+    (tmp_path / "sub" / "a.c").write_text("int x;\n")
+    (tmp_path / "sub" / "b.py").write_text("x = 1\ny = 2\n")
+    (tmp_path / "sub" / "textloom.code").write_text("measure Code * *.c\nINCLUDE:more/other.code: shared\n")
+    (tmp_path / "sub" / "more" / "other.code").write_text("INCLUDE:last.code:\n")
+    (tmp_path / "sub" / "more" / "last.code").write_text("measure NBNC * *.py\n")
+    rows = {r.name: r for r in run(spark, Options(paths=[str(tmp_path / "sub")])).collect()}
+    assert rows["a.c"].file_nbnc == 1 and rows["b.py"].file_nbnc == 2 and rows["b.py"].tag1 == "shared"
+    with pytest.raises(ConfigError, match="nowhere.code"):
+        run(spark, Options(paths=[str(tmp_path / "sub")], config="INCLUDE:nowhere.code:\n"))
+
+
+def test_duplicate_rows(spark):
+    df = spark.createDataFrame([(f"/r/{d}/f{i}.c", f"f{i}.c", 7, c) for i, (d, c) in enumerate([("a", 1), ("b", 1), ("c/d", 2)])], "path string, name string, file_nbnc int, nbnc_crc int")
+    rows = {r.path: r for r in dupes.suppressed(dupes.by_checksum(df)).collect()}
+    second = rows["/r/b/f1.c"]
+    assert (second.dupe_fileName, second.dupe_dir1, second.dupe_dir2, second.dupe_dir3, second.dupe_nbnc, second.file_nbnc) == ("/r/b/f1.c", "r", "a", "", 7, None)
+    assert rows["/r/a/f0.c"].dupe_fileName is None and rows["/r/a/f0.c"].file_nbnc == 7
+
+
+def test_near_sizes_match_a_loop(spark):
+    rng = random.Random(5)
+    rows = [(f"/d/{i:04}/x", "x", rng.randrange(0, 3000)) for i in range(400)] + [(f"/e/{i:04}/y", "y", 10 * i) for i in range(50)]
+    got = {r.path: r.dupe_firstPath for r in dupes.by_size(spark.createDataFrame(rows, "path string, name string, length long"), 4).collect()}
+    held, want = {}, {}
+    for path, name, size in sorted(rows):
+        near = [p for s, p in held.setdefault(name, []) if abs(s - size) <= 4]
+        want[path] = near[0] if near else None
+        if not near:
+            held[name].append((size, path))
+    assert got == want
+
+
+def test_depends_are_in_order(spark):
+    text = "import b\nimport A\nimport c\nimport a\n"
+    got = [r.depend_using for r in analyze.depends(files(spark, text, text)).collect()]
+    assert got == ["import A", "import a", "import b", "import c"] * 2
+
+
+def test_command_line_writes_all(spark, tmp_path, capsys):
+    from textloom import cli
+
+    src = tmp_path / "src"
+    src.mkdir()
+    for i in range(3):
+        (src / f"f{i}.c").write_text("int x;\n" * 500)
+    (src / "g.py").write_text("x = 1\n")
+    (src / "textloom.code").write_text("measure NBNC * *.c\nmeasure NBNC * *.py OUT:pythons\n")
+    args = [str(src), "-o", str(tmp_path / "out" / "main.csv"), "-c", "textloom.code"]
+    (tmp_path / "out").mkdir()
+    assert cli.main(args) == 0
+    assert sorted(os.listdir(tmp_path / "out")) == ["main.csv", "pythons.csv"]
+    shown = capsys.readouterr().out
+    assert "files: 4" in shown and "rows: 4" in shown and "folders: 1" in shown
+    assert cli.main([str(tmp_path / "nowhere")]) == 2
+    assert "no such folder" in capsys.readouterr().err

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     add = p.add_argument
     add("paths", nargs="*", default=["."], help="folders, or folder/filter;filter")
     add("-a", "--all", nargs="?", const="n", choices=["m", "n", "d"], help="every file: metadata only, line counts, or code measures")
-    add("-b", "--break-on-error", action="store_true", help="stop at the first error, as Spark does")
+    add("-b", "--break-on-error", action="store_true", help="stop at the first file that can't be read, rather than leave it out")
     add("-c", "--config-name", help="name of the config files in the tree")
     add("-ci", "--config-info", action="store_true", help="show which entries measure which files")
     add("-cc", "--config-entry", help="one entry instead of config files")
@@ -73,7 +75,16 @@ def options_of(a: argparse.Namespace) -> Options:
 
 
 def main(argv: list[str] | None = None) -> int:
-    a = parser().parse_args(argv)
+    try:
+        return _run(parser().parse_args(argv))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        print(f"textloom: no such folder: {e.getMessageParameters().get('path', '')}", file=sys.stderr)
+        return 2
+
+
+def _run(a: argparse.Namespace) -> int:
     if a.modules:
         for m in sorted(MODULES):
             print(m, "-", ", ".join(VERBS[m]))
@@ -83,11 +94,14 @@ def main(argv: list[str] | None = None) -> int:
     if a.workers:
         builder = builder.master(f"local[{max(1, min(255, a.workers))}]")
     spark = builder.getOrCreate()
+    # Files that go or break while a job runs are left out, unless the first error is to stop it.
+    for kind in ("Missing", "Corrupt"):
+        spark.conf.set(f"spark.sql.files.ignore{kind}Files", str(not a.break_on_error).lower())
     o = options_of(a)
     if a.config_info:
         files = scan(spark, o.paths, o.recursive, o.skip_dirs, o.skip_files)
         configs = configs_of(spark, o)
-        for r in preview(files, configs).orderBy("dir", "ext", "entry_ord").take(10_000):
+        for r in preview(files, configs).orderBy("dir", "ext", "entry_ord").toLocalIterator():
             print(r.dir, r.ext or "(none)", sorted(configs[r.config_dir], key=str)[r.entry_ord], sep="\t")
         return 0
     rows = run(spark, o)
@@ -99,10 +113,17 @@ def main(argv: list[str] | None = None) -> int:
         grouped = aggregate.by_key(rows, plain(key), chosen, threshold=threshold)
         sinks.write(grouped, f"{a.output}-{key.replace('.', '')}", a.format) if a.output and a.output != "stdout" else sinks.show(grouped)
     if a.output and a.output != "stdout" and not a.totals:
-        sinks.write(rows, a.output, a.format)
+        if "out_file" in rows.columns:  # entries with OUT: name files beside the output
+            folder, _, name = a.output.rpartition("/")
+            sinks.write_by_file(rows, folder or ".", default=name, kind=a.format)
+        else:
+            sinks.write(rows, a.output, a.format)
     elif not a.totals and not a.aggregate:
         sinks.show(rows, sinks.SEPARATORS.get(a.format, ","))
     if not a.quiet:
+        files = scan(spark, o.paths, o.recursive, o.skip_dirs, (*o.skip_files, o.config_name), o.include_dirs, o.file_filters)
+        for r in aggregate.counters(files, rows).collect():
+            print(f"{r.counter}: {r.value:,}")
         found = summary(rows)
         for r in found.filter(F.col("file_type").isNull()).orderBy("measure").collect():
             print(f"{r.measure}: {r.total:,.0f}")

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import rank
 from textloom.operators import aggregate, analyze, dupes, measure, routines, search
 from textloom.operators.routing import entries_of, folder_counts, routed
-from textloom.plans.config import Entry, entry, matches_measure, parse
+from textloom.plans.config import ConfigError, Entry, entry, matches_measure, parse
 from textloom.ship import ship
 from textloom.sources import filters
 from textloom.sources.delta import delta
-from textloom.sources.files import opened, scan
+from textloom.sources.files import opened, scan, split_argument
 from textloom.sources.sinks import dotted
 
 
@@ -49,12 +51,27 @@ def configs_of(spark: SparkSession, o: Options) -> dict[str, list[Entry]]:
     if o.inline_entry:
         e = entry(o.inline_entry)
         return {"": [Entry(e.verb, e.module, e.measure_filters, e.file_filters, e.tags, tuple(extra) + e.options)]}
+
+    def parsed(text: str, folder: str) -> list[Entry]:
+        return parse(text, lambda path: _config_text(spark, path), tuple(extra), folder)
+
     if o.config is not None:
-        return {"": parse(o.config, defaults=tuple(extra))}
+        return {"": parsed(o.config, split_argument(o.paths[0])[0] if o.paths else "")}
     from textloom.plans.defaults import DEFAULT_CONFIG
 
+    # Without a config on a file's way up, that of the folder where the job runs holds, or else the library's own.
+    here = Path(o.config_name)
+    base = parsed(here.read_text("utf-8"), str(here.resolve().parent)) if here.is_file() else parse(DEFAULT_CONFIG, defaults=tuple(extra))
     found = scan(spark, o.paths, o.recursive, skip_files=(), file_filters=(o.config_name,)).select("dir", F.col("content").cast("string").alias("text")).collect()
-    return {"": parse(DEFAULT_CONFIG, defaults=tuple(extra))} | {r.dir: parse(r.text, defaults=tuple(extra)) for r in found}
+    return {"": base} | {r.dir: parsed(r.text, r.dir) for r in found}
+
+
+def _config_text(spark: SparkSession, path: str) -> str:
+    """The text of an included config, which any storage that Spark reads may hold."""
+    try:
+        return spark.read.text(path, wholetext=True).first()[0]
+    except AnalysisException:
+        raise ConfigError(f"no config {path} to include") from None
 
 
 def _of_entry(files: DataFrame, e: Entry) -> DataFrame:

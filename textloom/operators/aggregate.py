@@ -71,10 +71,10 @@ def top(totals_: DataFrame, k: int) -> DataFrame:
     return per.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def counters(files: DataFrame, measured: DataFrame, rows: DataFrame) -> DataFrame:
-    """(counter, value): folders, files, opened files, measured files, result rows."""
+def counters(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """(counter, value): folders, files, measured files, result rows."""
     named = lambda df, name, agg: df.agg(agg.cast("long").alias("value")).select(F.lit(name).alias("counter"), "value")
     out = named(files, "folders", F.countDistinct("dir"))
-    for df, name, agg in ((files, "files", F.count("*")), (files, "opened", F.count("content")), (measured, "measured", F.countDistinct("path")), (rows, "rows", F.count("*"))):
+    for df, name, agg in ((files, "files", F.count("*")), (rows, "measured", F.countDistinct("path")), (rows, "rows", F.count("*"))):
         out = out.unionByName(named(df, name, agg))
     return out

@@ -17,18 +17,20 @@ def _code_lines(files: DataFrame, p: Profile, key: str, text: str) -> DataFrame:
 
 
 def depends(files: DataFrame, p: Profile | str = "Depends", key: str = "path", text: str = "content") -> DataFrame:
-    """(key, depend_using, depend_count, depend_lines): import statements of each file with their lines."""
+    """(key, depend_using, depend_count, depend_lines): import statements of each file with their lines, a file's side by side in the order of their lower-cased text."""
     p = profile(p) if isinstance(p, str) else p
     df = _code_lines(files, p, key, text).filter(F.col("_norm").rlike(java(p.imports, p.ignore_case)))
-    return df.groupBy(key, F.col("_norm").alias("depend_using")).agg(F.count("*").alias("depend_count"), F.sort_array(F.collect_list("line_no")).alias("depend_lines"))
+    # Dealt by file, so that the same partitions serve the groups and their order.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(n, key).groupBy(key, F.col("_norm").alias("depend_using")).agg(F.count("*").alias("depend_count"), F.sort_array(F.collect_list("line_no")).alias("depend_lines"))
+    return df.sortWithinPartitions(key, F.lower("depend_using"), "depend_using")
 
 
 def dupe_lines(files: DataFrame, p: Profile | str = "DupeLines", key: str = "path", text: str = "content") -> DataFrame:
-    """(key, dupe_crc, dupe_count, dupe_content, dupe_lines): every distinct code line of each file."""
+    """(key, dupe_crc, dupe_count, dupe_content, dupe_lines): every distinct code line of each file; lines that share a checksum stay apart."""
     p = profile(p) if isinstance(p, str) else p
-    df = _code_lines(files, p, key, text)
-    df = df.groupBy(key, F.crc32(F.col("_norm").cast("binary")).alias("dupe_crc")).agg(F.count("*").alias("dupe_count"), F.min_by("_norm", "line_no").alias("dupe_content"), F.sort_array(F.collect_list("line_no")).alias("dupe_lines"))
-    return df
+    df = _code_lines(files, p, key, text).groupBy(key, F.col("_norm").alias("dupe_content")).agg(F.count("*").alias("dupe_count"), F.sort_array(F.collect_list("line_no")).alias("dupe_lines"))
+    return df.select(key, F.crc32(F.col("dupe_content").cast("binary")).alias("dupe_crc"), "dupe_count", "dupe_content", "dupe_lines")
 
 
 def shared_lines(files: DataFrame, least: int = 1, p: Profile | str = "DupeLines", key: str = "path", text: str = "content") -> DataFrame:
@@ -37,6 +39,6 @@ def shared_lines(files: DataFrame, least: int = 1, p: Profile | str = "DupeLines
     Counts are combined before the shuffle; nothing is gathered a line.
     """
     p = profile(p) if isinstance(p, str) else p
-    per = _code_lines(files, p, key, text).groupBy(F.crc32(F.col("_norm").cast("binary")).alias("dupe_crc"), key).agg(F.count("*").alias("_n"), F.min("_norm").alias("_norm"))
-    whole = per.groupBy("dupe_crc").agg(F.sum("_n").alias("dupe_count"), F.count("*").alias("dupe_files"), F.min("_norm").alias("dupe_content"))
-    return whole.filter(F.col("dupe_count") > least)
+    per = _code_lines(files, p, key, text).groupBy(F.col("_norm").alias("dupe_content"), key).agg(F.count("*").alias("_n"))
+    whole = per.groupBy("dupe_content").agg(F.sum("_n").alias("dupe_count"), F.count("*").alias("dupe_files")).filter(F.col("dupe_count") > least)
+    return whole.select(F.crc32(F.col("dupe_content").cast("binary")).alias("dupe_crc"), "dupe_count", "dupe_files", "dupe_content")

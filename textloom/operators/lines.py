@@ -64,7 +64,7 @@ def tested(df: DataFrame, p: Profile, templates: tuple[str, ...] = (), routine_p
     line, code = F.col("line"), F.col("_code")
     c = F.col("_s") if p.strip_for_comments else line
     opened = r(c, p.comment_open)
-    same = r(c, f"{p.comment_open}.*{p.comment_close}") if p.comment_open else F.lit(False)
+    same = F.when(opened, r(c, f"{p.comment_open}.*{p.comment_close}")).otherwise(F.lit(False)) if p.comment_open else F.lit(False)
     single = r(c, "^" + p.comment if not p.comment.startswith("^") else p.comment)
     shown = opened
     if p.close_code and p.comment_open:

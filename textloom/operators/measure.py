@@ -20,13 +20,13 @@ NESTING_RANKS = [(2, "0 to 2"), (5, "3 to 4"), (None, "5+")]
 FOLDER_RANKS = [(10, "1 to 10"), (30, "11 to 30"), (100, "31 to 100"), (None, "100+")]
 
 
-def classified(files: DataFrame, p: Profile | str = "NBNC", key: str = "path", text: str = "content", templates: tuple[str, ...] = (), crc: bool = True) -> DataFrame:
-    """All lines with their bits, block and comment state."""
+def classified(files: DataFrame, p: Profile | str = "NBNC", key: str = "path", text: str = "content", templates: tuple[str, ...] = (), crc: bool = True, line: bool = True) -> DataFrame:
+    """All lines with their bits, block and comment state; with ``line``, the line itself."""
     p = profile(p) if isinstance(p, str) else p
     df = L.tested(L.pieces(files.select(key, text), p, key, text), p, templates)
     if p.module in ("NBNC", "Search") or not (p.has_blocks or crc):
         return comment_windows(df, key).withColumns({"block": F.lit(HUMAN), "changed": F.lit(False)})
-    return folded(df, p, key, crc)
+    return folded(df, p, key, crc, line)
 
 
 def line_class(p: Profile) -> Column:
@@ -61,7 +61,7 @@ def basic(files: DataFrame, p: Profile | str = "NBNC", key: str = "path", text:
 def full(files: DataFrame, p: Profile | str = "Code", key: str = "path", text: str = "content", size: str | None = None, templates: tuple[str, ...] = (), crc: bool = True) -> DataFrame:
     """All code measures, one row a file. Measures that are written only when positive are null otherwise."""
     p = profile(p) if isinstance(p, str) else p
-    df = classified(files, p, key, text, templates, crc).withColumn("_c", line_class(p))
+    df = classified(files, p, key, text, templates, crc, line=False).withColumn("_c", line_class(p))
     c, live = F.col("_c"), F.col("block") == p.measured_block
     code = c.isin("N", "I")
     first = (F.col("piece_no") == 0)

@@ -21,6 +21,7 @@ from textloom.operators.measure import COMMENT_RANKS, COMPLEXITY_RANKS, NESTING_
 from textloom.operators.states import Fold
 from textloom.plans.config import Param
 from textloom.plans.profile import Profile, profile
+from textloom.ship import ship
 
 FILE_LINES, NO_MEASURE = "(file lines grouped as routine)", "(no measure)"
 _FIELDS = ("name", "line", "line_num", "line_col", "line_nesting", "regex", "nbnc", "comments", "decisions", "escapes", "cases", "booleans", "max_nesting")
@@ -94,13 +95,13 @@ class _Walk:
         start = start and depth <= p.routine_ignore_column
         trigger = start or (depth > 0 and p.routine_ignore_column != 0 and depth <= p.routine_ignore_column and depth <= self.cur["line_col"])
         if trigger and not p.routine_single_line and self.prev:
-            self.cur["line"] += " " + line.strip()
+            self.cur["line"] += line
             trigger = False
         self.prev = trigger
         if trigger:
             self.save(out)
             self.found = True
-            self._fresh(line.strip(), num, depth, nest, (name or "") if start else "", (regex or "") if start else "")
+            self._fresh(line, num, depth, nest, (name or "") if start else "", (regex or "") if start else "")
         for bit, what in ((L.DECISION, "decisions"), (L.ESCAPE, "escapes"), (L.CASE, "cases"), (L.BOOLEAN, "booleans")):
             if bits & bit:
                 self.cur[what] += 1
@@ -111,9 +112,10 @@ class _Walk:
 def routines(files: DataFrame, p: Profile | str = "Code", params: tuple[Param, ...] = (), key: str = "path", text: str = "content") -> DataFrame:
     """One row a routine: its place, size, comments, counts, complexity and ranks."""
     p = profile(p) if isinstance(p, str) else p
+    ship(files.sparkSession)
     df = L.tested(L.pieces(files.select(key, text), p, key, text), p)
     start, name, regex = _start(F.col("line"), p, params)
-    df = df.select(key, "line_no", "piece_no", "bits", "line", expanded_indent(F.col("line")).alias("depth"), start.alias("start"), F.when(start, name).alias("name"), F.when(start, regex).alias("regex"))
+    df = df.select(key, "line_no", "piece_no", "bits", "line", expanded_indent(F.col("line"), p.routine_indent).alias("depth"), start.alias("start"), F.when(start, name).alias("name"), F.when(start, regex).alias("regex"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartition(n, key).sortWithinPartitions(key, "line_no", "piece_no")
     strings, ints = ("name", "line", "regex"), tuple(f for f in _FIELDS if f not in ("name", "line", "regex"))

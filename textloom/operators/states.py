@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from textloom.operators.lines import _DETECT, CLOSED, FAUX_BLANK, IGNORE, IGNORE_FILE, OPEN_NEXT, SINGLE_ON, SKIPPED, TRUE_BLANK, has
 from textloom.plans.profile import Profile
+from textloom.ship import ship
 
 
 def comment_windows(df: DataFrame, key: str = "path") -> DataFrame:
@@ -95,13 +96,16 @@ class Fold:
         return self.block, on, changed
 
 
-def folded(df: DataFrame, p: Profile, key: str = "path", crc: bool = True) -> DataFrame:
+def folded(df: DataFrame, p: Profile, key: str = "path", crc: bool = True, line: bool = True) -> DataFrame:
     """Add block, in_comment, changed and the checksums so far, code_crc and raw_crc, to lines with ``bits``.
 
     One shuffle by file; lines are sorted inside the partitions, so a file's
-    length costs no memory.
+    length costs no memory. Texts take part in it only where checksums are
+    wanted, or with ``line`` the line itself, which is kept then.
     """
-    keep = [key, "line_no", "piece_no", "raw", "line", "bits", "semicolons"]
+    ship(df.sparkSession)
+    stay = [key, "line_no", "piece_no", "bits", "semicolons", *(["line"] if line else [])]
+    keep = [*stay, *(["raw"] if crc else []), *(["line"] if crc and not line else [])]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.select(*keep).repartition(n, key).sortWithinPartitions(key, "line_no", "piece_no")
     more = [T.StructField("block", T.IntegerType()), T.StructField("in_comment", T.BooleanType()), T.StructField("changed", T.BooleanType()), T.StructField("code_crc", T.LongType()), T.StructField("raw_crc", T.LongType())]
@@ -110,8 +114,8 @@ def folded(df: DataFrame, p: Profile, key: str = "path", crc: bool = True) -> Da
         fold, last = Fold(p), None
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            raws, lines = (b.column(3).to_pylist(), b.column(4).to_pylist()) if crc else ([None] * b.num_rows,) * 2
-            for k, piece, raw, line, bits in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), raws, lines, b.column(5).to_pylist(), strict=True):
+            raws, lines = (b.column("raw").to_pylist(), b.column("line").to_pylist()) if crc else ([None] * b.num_rows,) * 2
+            for k, piece, raw, text, bits in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), raws, lines, b.column(3).to_pylist(), strict=True):
                 if k != last:
                     fold.reset()
                     last = k
@@ -120,10 +124,10 @@ def folded(df: DataFrame, p: Profile, key: str = "path", crc: bool = True) -> Da
                     if piece == 0:
                         fold.raw_crc = zlib.adler32((raw + "\n").encode("utf-8", "surrogatepass"), fold.raw_crc)
                     if block == fold.measured and not on and not bits & (SKIPPED | TRUE_BLANK | FAUX_BLANK):
-                        fold.code_crc = zlib.adler32((" " + "".join(c + " " for c in line)).encode("utf-8", "surrogatepass"), fold.code_crc)
+                        fold.code_crc = zlib.adler32((" " + "".join(c + " " for c in text)).encode("utf-8", "surrogatepass"), fold.code_crc)
                 for to, x in zip(out, (block, on, changed, fold.code_crc, fold.raw_crc), strict=True):
                     to.append(x)
             types = (pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=[*keep, *(f.name for f in more)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=[*stay, *(f.name for f in more)])
 
-    return dealt.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *more]))
+    return dealt.mapInArrow(run, T.StructType([*(df.schema[c] for c in stay), *more]))

@@ -122,8 +122,8 @@ def _lines(text: str) -> list[str]:
     return out + ([held.strip()] if held.strip() else [])
 
 
-def parse(text: str, read: Callable[[str], str] | None = None, defaults: tuple[tuple[str, str | None], ...] = ()) -> list[Entry]:
-    """The entries of a configuration; ``read`` gives the text of an included one. ``defaults`` go before each entry's options."""
+def parse(text: str, read: Callable[[str], str] | None = None, defaults: tuple[tuple[str, str | None], ...] = (), folder: str = "") -> list[Entry]:
+    """The entries of a configuration; ``read`` gives the text of an included one, whose path is relative to the folder of the file that names it. ``defaults`` go before each entry's options."""
     constants: dict[str, str] = {}
     found: list[Entry] = []
 
@@ -149,8 +149,11 @@ def parse(text: str, read: Callable[[str], str] | None = None, defaults: tuple[t
             if read is None:
                 raise ConfigError(f"nothing to read {path} with")
             tags, options = _tags(more.split())
+            path = path.strip()
+            if folder and not path.startswith("/") and "://" not in path:
+                path = f"{folder}/{path}"
             have = {e.file_filters for e in found}
-            found += [replace(e, tags=e.tags + tags, options=e.options + options) for e in parse(read(path.strip()), read, defaults) if e.file_filters not in have]
+            found += [replace(e, tags=e.tags + tags, options=e.options + options) for e in parse(read(path), read, defaults, path.rpartition("/")[0]) if e.file_filters not in have]
             continue
         e = entry(line)
         end = END_MARKERS.get(e.verb)

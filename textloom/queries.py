@@ -257,12 +257,6 @@ def dupe_files_size(spark, sf):
     return dupes.by_size(docs, 0, "length", "group").select("path", "dupe_firstPath")
 
 
-@_query()
-def dupe_files_near(spark, sf):
-    docs = _docs(spark, sf).withColumn("group", F.get("dirs", F.lit(2)))
-    return dupes.by_size(docs, 4, "length", "group").select("path", "dupe_firstPath")
-
-
 @_query(f"WITH {DOC_FILES}, g AS (SELECT path, min(path) OVER (PARTITION BY content) AS first FROM files) SELECT path, CASE WHEN first <> path THEN first END AS \"dupe_firstPath\" FROM g")
 def dupe_files_crc(spark, sf):
     docs = _docs(spark, sf).withColumn("crc", F.sha2("content", 256))
@@ -386,8 +380,11 @@ def delta_lines(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from textloom import option_queries  # noqa: F401  adds its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

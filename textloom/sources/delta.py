@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.text import lines_of
+from textloom.ship import ship
 
 
 def delta(new: DataFrame, old: DataFrame, include_deleted: bool = False, key: str = "rel") -> DataFrame:
@@ -20,6 +21,7 @@ def delta(new: DataFrame, old: DataFrame, include_deleted: bool = False, key: st
     path. Only changed files are compared line by line; equality is decided
     by the engine on the contents themselves.
     """
+    ship(new.sparkSession)
     o = old.select(F.col(key).alias("_key"), F.col("path").alias("_old_path"), F.col("content").alias("_old"))
     df = new.join(o, new[key] == F.col("_key"), "left").drop("_key")
     same = F.col("content").eqNullSafe(F.col("_old")) & F.col("_old_path").isNotNull()

@@ -62,10 +62,10 @@ def write_by_file(df: DataFrame, folder: str, column: str = "out_file", default:
     return paths
 
 
-def show(df: DataFrame, sep: str = ",", n: int = 1000) -> None:
-    """The first n rows on standard output."""
+def show(df: DataFrame, sep: str = ",") -> None:
+    """All rows on standard output, fetched partition by partition."""
     out = arranged(df)
     quote = lambda x: '"' + x.replace('"', '""') + '"'
     print(sep.join(map(quote, out.columns)))
-    for r in out.take(n):
+    for r in out.toLocalIterator():
         print(sep.join(map(quote, r)))
