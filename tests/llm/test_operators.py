@@ -346,6 +346,7 @@ def test_hot_keys(spark, monkeypatch):
     from textloom.llm import common
 
     monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(components, "HOT_ROWS", 5)
     monkeypatch.setattr(common, "SHARES", 1000)
     edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(10)], "a long, b long")
     got = {r.node: r.label for r in components.components(edges).collect()}

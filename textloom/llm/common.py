@@ -91,7 +91,8 @@ def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[n
 
 
 #: A key with more rows than this, and than that share of all rows, is hot: under SHARES keys are.
-HOT_ROWS, SHARES = 1000, 100_000
+#: Fewer rows, of a few numbers each, are some megabytes in one task.
+HOT_ROWS, SHARES = 100_000, 100_000
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
@@ -102,8 +103,8 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int) ->
     twice and should be stored. ``n`` is left out of the result.
     """
     most = max(HOT_ROWS, total // SHARES)
-    hot = checkpoint(right.filter(F.col(n) > most).drop(n))
-    if hot.isEmpty():
+    hot = right.filter(F.col(n) > most).drop(n)
+    if total <= most or hot.isEmpty():
         return left.join(right.drop(n), key)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(n) <= most).drop(n), key)
     return left.join(F.broadcast(hot), key).unionByName(rest)

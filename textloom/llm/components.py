@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import checkpoint, join_hot
+from textloom.llm.common import HOT_ROWS, checkpoint, join_hot
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hooked(both, 2 * state[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = checkpoint(large)
+        if 2 * state[0] > HOT_ROWS:
+            large = checkpoint(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _hooked(large, 2 * state[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
@@ -36,8 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _hooked(e: DataFrame, total: int) -> DataFrame:
     """The edges with the smallest of u and its neighbours as m."""
-    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
-    return join_hot(e, checkpoint(low.select("u", F.least("u", "m").alias("m"), "_n")), "u", "_n", total)
+    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+    return join_hot(e, checkpoint(low) if total > HOT_ROWS else low, "u", "_n", total)
 
 
 def _state(e: DataFrame) -> tuple[int, int, int]:

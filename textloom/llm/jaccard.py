@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import HOT_ROWS, SHARES, forget, runs, stored
+from textloom.llm.common import SHARES, forget, runs, stored
 from textloom.llm.components import components
 
 #: Similarity of a link, as a fraction: 0.8.
@@ -56,6 +56,8 @@ BUCKETS, SLICES = 1 << 20, 16
 BROADCAST_NODES = 1_000_000
 #: The neighbours, in the order of those that meet, that each is compared with in each round; the last one takes all.
 ROUNDS = ((1, 8), (9, 64), (65, None))
+#: Copies of a text beyond which, and beyond that share of all rows, only one is looked at.
+COPIES = 1000
 _WORDS = 4
 _F = [f"f{i}" for i in range(_WORDS)]
 
@@ -271,7 +273,7 @@ def least_rows(docs: DataFrame, shingle: int, close: Callable[[DataFrame], DataF
     signatures = stored(_signatures(docs, shingle))
     rows = signatures.filter("slice is null")
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("_id").alias("id"), F.col("_row"))).alias("least"), F.count("*").alias("_n"), *(F.first(f).alias(f) for f in _F)))
-    most = max(HOT_ROWS, rows.count() // SHARES)
+    most = max(COPIES, rows.count() // SHARES)
     hot = {r[0]: r[1] for r in nodes.filter(F.col("_n") > most).select("node", "least._row").toLocalIterator()}  # under SHARES
     counts = _counts(signatures.filter("slice is not null").select("slice", "part"))
     met = stored(_met(_entries(docs, shingle, counts, hot)))
