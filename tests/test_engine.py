@@ -8,6 +8,7 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import patterns as P
 from textloom.functions import text as X
@@ -378,3 +379,30 @@ def test_command_line_writes_all(spark, tmp_path, capsys):
     assert "files: 4" in shown and "rows: 4" in shown and "folders: 1" in shown
     assert cli.main([str(tmp_path / "nowhere")]) == 2
     assert "no such folder" in capsys.readouterr().err
+
+
+def test_modules_of_ones_own(spark, tmp_path):
+    from textloom.operators.custom import surveyed
+    from textloom.plans import profile as plans
+
+    hooks = plans.Hooks(
+        preprocess=lambda line: F.regexp_replace(line, "^>>> ?", ""),
+        counts=(("file_todos", lambda df: df["line"].contains("TODO") & (df["_c"] == "C")), ("file_blockChanges", lambda df: df["changed"])),
+        file=lambda df: df.withColumn("file_todoShare", F.col("file_todos") / F.col("file_total")),
+        param=lambda text: param(text.replace("WORD", r"\w+")),
+    )
+    plans.register("prompts", MODULES["Code"], ("measure", "search"), hooks)
+    try:
+        got = full(spark, ">>> x = 1\n>>> // TODO: y\nTODO = 2\n#region generated\nz\n#endregion\n", "prompts")
+        assert (got["file_nbnc"], got["file_todos"], got["file_blockChanges"], got["file_todoShare"]) == (3, 1, 2, 1 / 6)
+        (tmp_path / "a.p").write_text(">>> x = 1\n")
+        rows = run(spark, Options(paths=[str(tmp_path)], config="measure prompts * *.p")).collect()
+        assert rows[0].file_nbnc == 1 and rows[0].file_todos == 0
+        assert parse("search prompts * *.p\nWORD = 1\nsearch_end\n")[0].params[0].regex == r"\w+=1"
+        with pytest.raises(ValueError, match="there is a module"):
+            plans.register("prompts", MODULES["Code"])
+    finally:
+        del MODULES["prompts"], plans.VERBS["prompts"]
+    items = T.StructType().add("word", "string").add("line", "int")
+    df = surveyed(files(spark, "b a\nc", "", None), lambda lines: ({"n": len(lines)}, [{"word": w, "line": i} for i, x in enumerate(lines, 1) for w in x.split()]) if lines else None, T.StructType().add("n", "int"), items)
+    assert [(r.path, r.measures.n, [(x.word, x.line) for x in r["items"]]) for r in df.collect()] == [("f0", 2, [("b", 1), ("a", 1), ("c", 2)])]

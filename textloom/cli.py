@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
@@ -47,7 +48,9 @@ def parser() -> argparse.ArgumentParser:
     add("-t", "--totals", action="store_true", help="totals only")
     add("-v", "--verbose", nargs="?", const=5, type=int, help="totals by file type, and the largest")
     add("-w", "--workers", type=int, help="local cores")
-    add("--modules", action="store_true", help="list modules, verbs and options")
+    add("-y", "--debug", action="store_true", help="print the plan before it runs")
+    add("-z", "--profile", action="store_true", help="print how long each step took")
+    add("-?", "--modules", nargs="?", const="", metavar="MODULE", help="list modules, verbs and options, or what one module can do")
     return p
 
 
@@ -85,11 +88,20 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _run(a: argparse.Namespace) -> int:
-    if a.modules:
-        for m in sorted(MODULES):
+    if a.modules is not None:
+        if a.modules and a.modules not in MODULES:
+            print(f"textloom: no module {a.modules}", file=sys.stderr)
+            return 2
+        for m in [a.modules] if a.modules else sorted(MODULES):
             print(m, "-", ", ".join(VERBS[m]))
-        print("options:", ", ".join(OPTIONS))
+        print("options:", ", ".join(f"{n}=..." if takes else n for n, (takes, _) in OPTIONS.items()))
         return 0
+    began = time.monotonic()
+
+    def step(name: str) -> None:
+        if a.profile:
+            print(f"{time.monotonic() - began:.1f} s: {name}", file=sys.stderr)
+
     builder = SparkSession.builder.appName("textloom").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", str(a.progress).lower())
     if a.workers:
         builder = builder.master(f"local[{max(1, min(255, a.workers))}]")
@@ -104,7 +116,11 @@ def _run(a: argparse.Namespace) -> int:
         for r in preview(files, configs).orderBy("dir", "ext", "entry_ord").toLocalIterator():
             print(r.dir, r.ext or "(none)", sorted(configs[r.config_dir], key=str)[r.entry_ord], sep="\t")
         return 0
+    step("session")
     rows = run(spark, o)
+    step("plan")
+    if a.debug:
+        rows.explain("formatted")
     if a.aggregate:
         key, names, *limit = [*a.aggregate, "all"][: max(2, len(a.aggregate))]
         plain = lambda c: next((x for x in rows.columns if c in (x, sinks.dotted(x))), c)
@@ -120,6 +136,7 @@ def _run(a: argparse.Namespace) -> int:
             sinks.write(rows, a.output, a.format)
     elif not a.totals and not a.aggregate:
         sinks.show(rows, sinks.SEPARATORS.get(a.format, ","))
+    step("results")
     if not a.quiet:
         files = scan(spark, o.paths, o.recursive, o.skip_dirs, (*o.skip_files, o.config_name), o.include_dirs, o.file_filters)
         for r in aggregate.counters(files, rows).collect():
@@ -130,4 +147,5 @@ def _run(a: argparse.Namespace) -> int:
         if a.verbose:
             for r in aggregate.top(found, a.verbose).orderBy("measure", "place").collect():
                 print(f"  {r.measure} {r.file_type}: {r.total:,.0f}")
+    step("totals")
     return 0

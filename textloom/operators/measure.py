@@ -23,7 +23,10 @@ FOLDER_RANKS = [(10, "1 to 10"), (30, "11 to 30"), (100, "31 to 100"), (None, "1
 def classified(files: DataFrame, p: Profile | str = "NBNC", key: str = "path", text: str = "content", templates: tuple[str, ...] = (), crc: bool = True, line: bool = True) -> DataFrame:
     """All lines with their bits, block and comment state; with ``line``, the line itself."""
     p = profile(p) if isinstance(p, str) else p
-    df = L.tested(L.pieces(files.select(key, text), p, key, text), p, templates)
+    df = L.pieces(files.select(key, text), p, key, text)
+    if p.hooks.preprocess:
+        df = df.withColumn("line", p.hooks.preprocess(F.col("line")))
+    df = L.tested(df, p, templates)
     if p.module in ("NBNC", "Search") or not (p.has_blocks or crc):
         return comment_windows(df, key).withColumns({"block": F.lit(HUMAN), "changed": F.lit(False)})
     return folded(df, p, key, crc, line)
@@ -61,7 +64,7 @@ def basic(files: DataFrame, p: Profile | str = "NBNC", key: str = "path", text:
 def full(files: DataFrame, p: Profile | str = "Code", key: str = "path", text: str = "content", size: str | None = None, templates: tuple[str, ...] = (), crc: bool = True) -> DataFrame:
     """All code measures, one row a file. Measures that are written only when positive are null otherwise."""
     p = profile(p) if isinstance(p, str) else p
-    df = classified(files, p, key, text, templates, crc, line=False).withColumn("_c", line_class(p))
+    df = classified(files, p, key, text, templates, crc, line=bool(p.hooks.counts)).withColumn("_c", line_class(p))
     c, live = F.col("_c"), F.col("block") == p.measured_block
     code = c.isin("N", "I")
     first = (F.col("piece_no") == 0)
@@ -88,6 +91,7 @@ def full(files: DataFrame, p: Profile | str = "Code", key: str = "path", text: s
     }
     if crc:
         aggs |= {"_code_crc": F.max_by("code_crc", F.struct("line_no", "piece_no")), "_raw_crc": F.max_by("raw_crc", F.struct("line_no", "piece_no"))}
+    aggs |= {f"_hook{i}": _count(of(df)) for i, (_, of) in enumerate(p.hooks.counts)}
     df = df.groupBy(key).agg(*(a.alias(n) for n, a in aggs.items()))
     keep = [key] + ([size] if size else [])
     df = files.select(*keep).join(df, key, "left").na.fill(0, list(aggs))
@@ -125,4 +129,6 @@ def full(files: DataFrame, p: Profile | str = "Code", key: str = "path", text: s
     if size:
         most = (F.col(size) > 0) & (F.col("file_nbnc") > 0) & (F.col("file_nbnc") > F.col("_machine")) & (F.col("file_nbnc") > F.col("_content"))
         out["nbnc_byteRatio"] = F.when(most, F.col(size) / F.col("file_nbnc"))
-    return df.select(key, *(x.alias(n) for n, x in out.items()))
+    out |= {n: F.col(f"_hook{i}") for i, (n, _) in enumerate(p.hooks.counts)}
+    df = df.select(key, *(x.alias(n) for n, x in out.items()))
+    return p.hooks.file(df) if p.hooks.file else df

@@ -162,7 +162,7 @@ def parse(text: str, read: Callable[[str], str] | None = None, defaults: tuple[t
             for p in lines:
                 if p == end:
                     break
-                params.append(param(resolved(p)))
+                params.append((MODULES[e.module].hooks.param or param)(resolved(p)))
             else:
                 raise ConfigError(f"{e.verb} without {end}")
         found.append(replace(e, options=defaults + e.options, params=distinct_params(tuple(params))))

@@ -11,6 +11,23 @@ from textloom.functions import patterns as P
 HUMAN, MACHINE, CONTENT = 0, 1, 2
 
 
+@dataclass(frozen=True)
+class Hooks:
+    """What a module of one's own adds to the measuring of code, as column expressions.
+
+    ``preprocess`` changes a line before it is tested. ``counts`` names measures
+    by conditions on a classified line, of which the columns line, bits, block,
+    in_comment, changed (the block changes here) and _c (the line's class) can
+    be used. ``file`` gets the finished measures of all files and may add to
+    them. ``param`` reads a parameter line of the module's entries.
+    """
+
+    preprocess: Callable | None = None
+    counts: tuple[tuple[str, Callable], ...] = ()
+    file: Callable | None = None
+    param: Callable | None = None
+
+
 @dataclass(frozen=True)
 class Profile:
     """All that decides how a file is measured. Patterns are flat Python regular expressions."""
@@ -75,6 +92,7 @@ class Profile:
     routine_indent: int = 4
     routine_ignore_column: int = 20
     options: tuple[tuple[str, str | None], ...] = field(default=(), compare=False)
+    hooks: Hooks = field(default=Hooks(), compare=False)
 
     @property
     def detectors(self) -> tuple[tuple[tuple[str, str | None], ...], ...]:
@@ -107,6 +125,14 @@ VERBS: dict[str, tuple[str, ...]] = {
 END_MARKERS = {v: f"{v}_end" for v in ("search", "multisearch", "routines", "tempmeasure")}
 
 
+def register(name: str, base: Profile, verbs: tuple[str, ...] = ("measure",), hooks: Hooks | None = None) -> None:
+    """Add a module under a new name: a profile, the verbs that entries may use with it, and its hooks."""
+    if name in MODULES:
+        raise ValueError(f"there is a module {name}")
+    MODULES[name] = replace(base, module=name, hooks=hooks or base.hooks)
+    VERBS[name] = verbs
+
+
 def _pairs(text: str) -> tuple[tuple[str, str | None], ...]:
     """Detector pairs from a list literal of patterns; re.compile(...) around a pattern is read through, nothing is run."""
 
