@@ -403,6 +403,6 @@ def test_modules_of_ones_own(spark, tmp_path):
             plans.register("prompts", MODULES["Code"])
     finally:
         del MODULES["prompts"], plans.VERBS["prompts"]
-    items = T.StructType().add("word", "string").add("line", "int")
-    df = surveyed(files(spark, "b a\nc", "", None), lambda lines: ({"n": len(lines)}, [{"word": w, "line": i} for i, x in enumerate(lines, 1) for w in x.split()]) if lines else None, T.StructType().add("n", "int"), items)
+    items = T.StructType().add("word", T.StringType()).add("line", T.IntegerType())
+    df = surveyed(files(spark, "b a\nc", "", None), lambda lines: ({"n": len(lines)}, [{"word": w, "line": i} for i, x in enumerate(lines, 1) for w in x.split()]) if lines else None, T.StructType().add("n", T.IntegerType()), items)
     assert [(r.path, r.measures.n, [(x.word, x.line) for x in r["items"]]) for r in df.collect()] == [("f0", 2, [("b", 1), ("a", 1), ("c", 2)])]
