@@ -48,14 +48,14 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Rows(dict):
-    """Word to (row, row of its shape); forgets when it grows large."""
+    """Word to its row and, in the upper half, the row of its shape; forgets when it grows large."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
         tail = word[len(word.rstrip(b".,;:!?\"')]}|*#$%&<>=_~^+-/\\")) :][-2:]
         shape = b"%d%d%s" % (word[:1].isupper(), min(len(word) // 4, 5), tail)
-        value = zlib.crc32(word) % (ROWS - SHAPES), ROWS - SHAPES + zlib.crc32(shape) % (SHAPES - 2)
+        value = zlib.crc32(word) % (ROWS - SHAPES) | ROWS - SHAPES + zlib.crc32(shape) % (SHAPES - 2) << 32
         self[word] = value
         return value
 
@@ -64,11 +64,10 @@ def _streams(text: str | None, rows: _Rows) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").encode("utf-8", "surrogatepass").split()
     if not words:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    pairs = np.array([rows[w] for w in words], dtype=np.int64)
-    same = np.flatnonzero(np.array([a == b for a, b in zip(words, words[1:], strict=False)], dtype=bool)) + 1
-    shapes = pairs[:, 1].copy()
-    shapes[same] = ROWS - 1
-    return pairs[:, 0], shapes
+    both, hashes = (np.fromiter(map(of, words), dtype=np.int64, count=len(words)) for of in (rows.__getitem__, hash))
+    shapes = both >> 32
+    shapes[1:][hashes[1:] == hashes[:-1]] = ROWS - 1  # the word before once more
+    return both & 0xFFFFFFFF, shapes
 
 
 def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -136,10 +135,11 @@ def pooled(text: str | None, table: np.ndarray, rows: _Rows) -> np.ndarray:
     for i, ids in enumerate((words, shapes)):
         if len(ids):
             v = table[ids]
-            out[2 * i * DIM : (2 * i + 1) * DIM] = v.mean(axis=0)
-            out[(2 * i + 1) * DIM : (2 * i + 2) * DIM] = v.std(axis=0)
+            mean = v.mean(axis=0)
+            out[2 * i * DIM : (2 * i + 1) * DIM] = mean
+            out[(2 * i + 1) * DIM : (2 * i + 2) * DIM] = np.sqrt(np.maximum(np.einsum("ij,ij->j", v, v) / len(ids) - mean * mean, 0))
     out[-2] = np.log1p(len(words))
-    out[-1] = len(np.unique(words)) / max(1, len(words))
+    out[-1] = (1 + np.count_nonzero(np.diff(np.sort(words)))) / len(words) if len(words) else 0
     return out
 
 
