@@ -80,6 +80,15 @@ def opt_blank_line_xml_pages(spark, sf):
     return measure.basic(_web(spark, sf), profile("NBNC", (("BLANK_LINE_XML", None),)))
 
 
+#: The pages have their scripts inside one line each, so a block never lasts longer.
+_WEB_SRC = _changed(CODE_SRC, [(SRC_FILES, WEB_FILES), (_REGION, "CASE WHEN regexp_matches(line, '<script', 'i') THEN 2 ELSE 0 END"), ("AND block = 0", "AND block = 2")])
+
+
+@_query(f"{_WEB_SRC}, n AS (SELECT f.path, count(c.path) FILTER (is_code) AS nbnc, nullif(count(c.path) FILTER (NOT faux AND block = 0), 0) AS content, count(c.path) FILTER ({_DEAD_COMMENT} OR (is_code AND inl)) AS file_comment FROM files f LEFT JOIN c2 c ON c.path = f.path GROUP BY f.path) SELECT path, nbnc AS file_nbnc, content AS file_content, content + nbnc AS file_code_content, file_comment FROM n")
+def web_script_content_pages(spark, sf):
+    return measure.full(_web(spark, sf), "Web", crc=False).select("path", "file_nbnc", "file_content", "file_code_content", "file_comment")
+
+
 @_query(f"{CODE_SRC} SELECT f.path, {', '.join(sql for _, sql in _COLUMNS.values())} FROM files f LEFT JOIN c2 c ON c.path = f.path GROUP BY f.path")
 def full_code_counts_src(spark, sf):
     """All counted measures of the Code module at once."""

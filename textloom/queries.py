@@ -158,11 +158,6 @@ def web_totals_pages(spark, sf):
     return measure.full(_web(spark, sf), "Web", crc=False).select("path", "file_total")
 
 
-@_query()
-def web_script_content_pages(spark, sf):
-    return measure.full(_web(spark, sf), "Web", crc=False).select("path", "file_nbnc", "file_content", "file_code_content", "file_comment")
-
-
 @_query(f"{NBNC_DOCS}, b AS ({_BASIC}) SELECT b.path, CASE WHEN file_nbnc > 0 THEN round(strlen(f.content) * 1.0 / file_nbnc, 6) END AS byte_ratio FROM b JOIN files f USING (path)")
 def byte_ratio_docs(spark, sf):
     docs = _docs(spark, sf)
