@@ -92,18 +92,18 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _found(text: Column, vocabulary: list[str]) -> Column:
-    """Places in the vocabulary of the trigrams that the text holds."""
-    low = F.lower(text)
+def _found(low: Column, vocabulary: list[str]) -> Column:
+    """Places in the vocabulary of the trigrams that the lower-cased text holds."""
     return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(vocabulary))).cast("array<int>"))
 
 
 def build_index(docs: DataFrame, rules: tuple[Secret, ...] = RULES, text: str = "text") -> DataFrame:
     """Postings (gram, key) of the trigrams that the rules' queries name."""
     vocabulary = _vocabulary(rules)
-    df = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("_text")).select("key", _found(F.col("_text"), vocabulary).alias("_found"))
+    # The lower-cased text is a column of its own, and explode() would put the whole test into a filter besides: each is done once.
+    df = docs.select(text_key(F.col(text)).alias("key"), F.lower(F.col(text)).alias("_low")).select("key", _found(F.col("_low"), vocabulary).alias("_found"))
     names = F.array(*(F.lit(g) for g in vocabulary)).cast("array<string>")
-    return df.select("key", F.explode("_found").alias("_i")).select(F.get(names, F.col("_i")).alias("gram"), "key")
+    return df.select("key", F.explode_outer("_found").alias("_i")).filter("_i is not null").select(F.get(names, F.col("_i")).alias("gram"), "key")
 
 
 def _holds(query, place: dict[str, int]) -> Column:
@@ -177,11 +177,11 @@ def _with_candidates(docs: DataFrame, rules: tuple[Secret, ...], text: str) -> D
     rows = docs.select(whole(docs).alias("_in")).select("_in", text_key(F.col("_in").getField(text)).alias("_key"))
     if found.count() <= BROADCAST_KEYS:
         return rows.join(F.broadcast(found), "_key", "left").drop("_key")
-    listed_ = F.coalesce(F.size(_found(F.col("_in").getField(text), _vocabulary(rules))) > 0, F.lit(False))
-    rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumns({"_salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"), "_low": F.lower(F.col("_in").getField(text))})
+    rows = rows.select("_in", "_key", "_salt", F.coalesce(F.size(_found(F.col("_low"), _vocabulary(rules))) > 0, F.lit(False)).alias("_listed"))
     salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = rows.filter(listed_).join(salted, ["_key", "_salt"], "left")
-    return met.unionByName(rows.filter(~listed_), allowMissingColumns=True).drop("_key", "_salt")
+    met = rows.filter("_listed").join(salted, ["_key", "_salt"], "left")
+    return met.unionByName(rows.filter("not _listed"), allowMissingColumns=True).drop("_key", "_salt", "_listed")
 
 
 def scan(docs: DataFrame, rules: tuple[Secret, ...] = RULES, text: str = "text") -> DataFrame:
