@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from textloom.llm import jaccard
 
 
 def shingle_set(text, k=5):
@@ -54,7 +55,12 @@ def test_planted_pairs(spark, sf, tmp_path):
     assert near(spark, sf, rows, str(tmp_path / "d")) == sorted(want)
 
 
-def test_chain_and_large_group(spark, sf, tmp_path):
+@pytest.mark.parametrize("small", [False, True])
+def test_chain_and_large_group(spark, sf, tmp_path, small, monkeypatch):
+    if small:  # shuffled joins, one of several copies, rounds of one neighbour
+        monkeypatch.setattr(jaccard, "BROADCAST_NODES", 0)
+        monkeypatch.setattr(jaccard, "COPIES", 1)
+        monkeypatch.setattr(jaccard, "ROUNDS", ((1, 1), (2, 2), (3, None)))
     rng = np.random.default_rng(12)
     base = [f"b{x}" for x in range(200)]
     rows = []
@@ -67,6 +73,7 @@ def test_chain_and_large_group(spark, sf, tmp_path):
     for i in range(12):  # each like its neighbours only
         rows.append((100 + i, " ".join(chain[10 * i : 10 * i + 100])))
     rows += [(200, ""), (201, None), (202, "One two"), (203, "one TWO"), (204, "one two three"), (205, "a b c d e f " * 20), (206, "a b c d e f " * 30)]
+    rows += [(300 + i, rows[5][1]) for i in range(4)] + [(310 + i, rows[5][1] + " end") for i in range(3)]
     want, _ = brute_kept(rows)
     assert near(spark, sf, rows, str(tmp_path / "d")) == sorted(want)
 

@@ -85,6 +85,7 @@ def test_repeats(docs, hot, monkeypatch):
 def test_repeats_common_passage(spark, hot, monkeypatch, tmp_path):
     """A passage in every text, and near copies: contexts with very many different parts."""
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "BROADCAST_KEYS", 500_000 if hot > 1000 else 0)
     rng = np.random.default_rng(15)
     passage = " ".join(f"common{x}" for x in range(30))
     base = [f"near{x}" for x in range(80)]
@@ -312,6 +313,7 @@ def test_simhash(docs):
 @pytest.mark.parametrize("chunk", [4096, 3])
 def test_links_lose_nothing(spark, chunk, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "BROADCAST_BUCKETS", chunk)
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 1 << 63, 12).tolist()
     fps = list({c ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 5), replace=False)) for c in centres for _ in range(12)})
@@ -617,6 +619,13 @@ def test_mixing(spark, docs, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_shuffled_equals_broadcast(spark, docs, odd, monkeypatch):
+    own = lambda d: sorted(map(str, (tuple(r)[1:] for r in mixing.rates(d).collect())))
+    want = [own(d) for d in (docs, odd)]
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert [own(d) for d in (docs, odd)] == want
+
+
 def test_mixing_comes_near_targets(spark):
     rows = [(i, "w " * int(n), f"s{i % 3}" if i % 10 else "big") for i, n in enumerate(np.random.default_rng(9).integers(1, 60, 6000))]
     got = mixing.rates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
