@@ -406,3 +406,14 @@ def test_modules_of_ones_own(spark, tmp_path):
     items = T.StructType().add("word", T.StringType()).add("line", T.IntegerType())
     df = surveyed(files(spark, "b a\nc", "", None), lambda lines: ({"n": len(lines)}, [{"word": w, "line": i} for i, x in enumerate(lines, 1) for w in x.split()]) if lines else None, T.StructType().add("n", T.IntegerType()), items)
     assert [(r.path, r.measures.n, [(x.word, x.line) for x in r["items"]]) for r in df.collect()] == [("f0", 2, [("b", 1), ("a", 1), ("c", 2)])]
+
+
+def test_routing_shuffled_equals_broadcast(spark, monkeypatch):
+    from textloom.operators import routing
+
+    df = spark.createDataFrame([(f"/a/{d}/f{i}.c", f"/a/{d}") for i, d in enumerate(["b", "b/c", "d", "b/c/e", "bb"])], "path string, dir string")
+    configs = spark.createDataFrame([("/a",), ("/a/b",), ("/a/b/c",)], "config_dir string")
+    want = sorted(map(tuple, nearest(df, configs).select("path", "config_dir").collect()))
+    assert [c for _, c in want] == ["/a/b/c", "/a/b/c", "/a/b", "/a", "/a"]
+    monkeypatch.setattr(routing, "BROADCAST_CONFIGS", 0)
+    assert sorted(map(tuple, nearest(df, configs).select("path", "config_dir").collect())) == want
